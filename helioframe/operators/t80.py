@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from helioframe.config import SETTINGS
+from helioframe.functions.stages import settle
 from helioframe.operators.features import daylight, with_exposure
 
 INF = float("inf")
@@ -121,7 +122,7 @@ def t80_from_daily(daily: DataFrame) -> DataFrame:
 
 def t80_table(curves: DataFrame) -> DataFrame:
     """Survival table, one row per device; ``inf`` means it never failed."""
-    return t80_from_daily(daily_maxima(tracked_rows(curves)))
+    return t80_from_daily(settle(daily_maxima(tracked_rows(curves))))
 
 
 def finite(c: str) -> F.Column:

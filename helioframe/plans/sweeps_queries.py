@@ -1,0 +1,524 @@
+"""Sweeps: segmentation, quality rules, parameters, timing and shapes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from helioframe.functions import expr as X
+from helioframe.functions.smoothing import quadratic_fit_weights
+from helioframe.functions.stages import settle
+from helioframe.operators import curves as C
+from helioframe.plans import views  # noqa: F401
+from helioframe.plans.registry import query, view
+from helioframe.sources import fixtures
+
+view(
+    "v_pts",
+    """
+SELECT event_id, cell_id, cell_name, pt, make_timestamp(1704067200000000 + (event_id * 240 + pt * 5) * 1000000) AS "Timestamp",
+  CASE WHEN pt < 20 THEN 'Reverse' ELSE 'Forward' END AS ScanDirection,
+  v0 * CASE WHEN event_id % 43 = 0 THEN 0.4 WHEN event_id % 47 = 0 THEN 0.04 ELSE 1.0 END AS Voltage_V,
+  isc * CASE WHEN pt < 20 THEN 1.0 ELSE 0.97 END * (1.0 - pow(greatest(v0, 0.0) / voc_s, m))
+    * CASE WHEN event_id % 37 = 0 AND pt % 9 = 4 THEN 1.6 ELSE 1.0 END
+    * CASE WHEN event_id % 43 = 0 THEN -1.0 WHEN event_id % 59 = 0 THEN 1e-6::DOUBLE ELSE 1.0 END AS Current_A
+FROM (
+  SELECT *, 1.01::DOUBLE * voc_s - (1.01::DOUBLE * voc_s + 0.05) * (CASE WHEN pt < 20 THEN pt ELSE 39 - pt END) / 19.0 AS v0
+  FROM (
+    SELECT event_id, user_id % 8 AS cell_id, 'C' || CAST(user_id % 8 AS VARCHAR) AS cell_name,
+      0.0128::DOUBLE * least(value, 100.0) / 50.0 * CASE WHEN event_id % 53 = 0 THEN 0.01 ELSE 1.0 END AS isc,
+      0.9::DOUBLE + 0.001::DOUBLE * (event_id % 100) AS voc_s, 2.0::DOUBLE + 0.5 * (user_id % 8 % 2) AS m,
+      unnest(range(40)) AS pt
+    FROM events))
+""",
+)
+view(
+    "v_seg",
+    """
+SELECT *, sum(CASE WHEN prev IS NULL OR (ScanDirection = 'Reverse' AND prev <> 'Reverse') THEN 1 ELSE 0 END)
+  OVER (PARTITION BY cell_name ORDER BY "Timestamp", pt ROWS UNBOUNDED PRECEDING) AS curve
+FROM (SELECT *, lag(ScanDirection) OVER (PARTITION BY cell_name ORDER BY "Timestamp", pt) AS prev FROM v_pts)
+""",
+)
+NIGHT = "hour(timezone('Europe/Madrid', \"Timestamp\" AT TIME ZONE 'UTC')) NOT BETWEEN 6 AND 22"
+view(
+    "v_flag",
+    f"""
+SELECT *, {NIGHT} AS is_night, Current_A < 0 AND Voltage_V < 0.5 AS is_unphysical,
+  coalesce(d_i / (i_span + 1e-12) > 0.15, false) AS is_spike
+FROM (SELECT *, abs(Current_A - lag(Current_A) OVER (PARTITION BY cell_name, curve ORDER BY "Timestamp", pt)) AS d_i,
+        max(Current_A) OVER (PARTITION BY cell_name, curve) - min(Current_A) OVER (PARTITION BY cell_name, curve) AS i_span
+      FROM v_seg)
+""",
+)
+view(
+    "v_stats",
+    """
+SELECT cell_name, curve, max(cell_id) AS cell_id, count(*) AS n_points, max(Voltage_V) - min(Voltage_V) AS v_span,
+  max(i_span) AS i_span, bool_and(is_night) AS all_night, avg(CAST(is_unphysical AS INT)) AS neg_ratio,
+  count(*) FILTER (is_spike) AS spike_count, avg(CAST(is_spike AS INT)) AS spike_score,
+  min("Timestamp") AS t_min, max("Timestamp") AS t_max,
+  abs(max(Voltage_V * Current_A) FILTER (ScanDirection = 'Reverse') - max(Voltage_V * Current_A) FILTER (ScanDirection <> 'Reverse'))
+   / greatest(abs(max(Voltage_V * Current_A) FILTER (ScanDirection = 'Reverse')), 1e-12) AS hysteresis_index
+FROM v_flag GROUP BY 1, 2
+""",
+)
+view(
+    "v_noise",
+    f"""
+SELECT CASE WHEN count(*) >= 500 AND quantile_cont(d, 0.5) > 0 THEN quantile_cont(d, 0.5) ELSE 1e-7 END AS noise
+FROM (SELECT abs(Current_A - lag(Current_A) OVER (PARTITION BY curve ORDER BY "Timestamp", pt)) AS d
+      FROM v_seg WHERE cell_name = (SELECT min(cell_name) FROM v_seg) AND {NIGHT})
+""",
+)
+view(
+    "v_scores",
+    """
+SELECT s.*, v_span / CASE WHEN med > 0 THEN med ELSE 1.0 END AS v_span_ratio,
+  i_span / ((SELECT noise FROM v_noise) + 1e-15) AS snr_i
+FROM v_stats s JOIN (SELECT cell_name, quantile_cont(v_span, 0.5) AS med FROM v_stats GROUP BY 1) USING (cell_name)
+""",
+)
+view(
+    "v_audit",
+    """
+SELECT *, CAST(NOT (rej_night OR rej_unphysical OR rej_vspan_low OR rej_snr_low OR rej_spike) AS INT) AS is_curve_valid
+FROM (SELECT *, all_night AS rej_night, neg_ratio > 0.9 AS rej_unphysical, v_span_ratio < 0.1 AS rej_vspan_low,
+        snr_i < 3.0 AS rej_snr_low, spike_count > 2 AS rej_spike FROM v_scores)
+""",
+)
+
+
+def points(spark, sf):
+    return C.segment_cycles(fixtures.sweep_points(spark, sf))
+
+
+def settled_points(spark, sf):
+    return settle(points(spark, sf))
+
+
+def audit(spark, sf):
+    return C.curve_audit(settled_points(spark, sf))
+
+
+@query(
+    "w01_segment_cycles",
+    "cell_name curve:i n:i first_event:i last_event:i t_min:t",
+    """SELECT cell_name, curve, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event,
+  min("Timestamp") AS t_min FROM v_seg GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return points(spark, sf).groupBy("cell_name", "curve").agg(
+        F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"),
+        F.min("Timestamp").alias("t_min"),
+    )
+
+
+@query(
+    "w02_point_gradient",
+    "event_id:i pt:i d_i:f",
+    "SELECT event_id, pt, d_i * 1000 AS d_i FROM v_flag",
+)
+def _(spark, sf):
+    return C.point_gradient(points(spark, sf)).withColumn("d_i", F.col("d_i") * 1000)
+
+
+@query(
+    "p03_night_flag",
+    "event_id:i pt:i is_night:b",
+    f"SELECT event_id, pt, {NIGHT} AS is_night FROM v_pts",
+)
+def _(spark, sf):
+    return fixtures.sweep_points(spark, sf).withColumn("is_night", X.night_flag("Timestamp"))
+
+
+@query(
+    "p06_current_density",
+    "event_id:i pt:i J:f P:f",
+    "SELECT event_id, pt, Current_A * 1000 / 0.64 AS J, Voltage_V * (Current_A * 1000 / 0.64) AS P FROM v_pts",
+)
+def _(spark, sf):
+    p = fixtures.sweep_points(spark, sf).withColumn("J", X.current_density("Current_A"))
+    return p.withColumn("P", F.col("Voltage_V") * F.col("J"))
+
+
+@query(
+    "a05_curve_stats",
+    "cell_name curve:i n_points:i v_span:f i_span:f all_night:b neg_ratio:f",
+    "SELECT * FROM v_stats",
+)
+def _(spark, sf):
+    return C.curve_stats(points(spark, sf))
+
+
+@query("a06_noise_floor", "noise:f", "SELECT noise * 1000 AS noise FROM v_noise")
+def _(spark, sf):
+    return C.noise_floor(points(spark, sf)).withColumn("noise", F.col("noise") * 1000)
+
+
+@query(
+    "a06_noise_floor_per_device",
+    "cell_name noise:f",
+    f"""SELECT cell_name, 1000 * CASE WHEN count(*) >= 500 AND quantile_cont(d, 0.5) > 0 THEN quantile_cont(d, 0.5) ELSE 1e-7 END AS noise
+FROM (SELECT cell_name, abs(Current_A - lag(Current_A) OVER (PARTITION BY cell_name, curve ORDER BY "Timestamp", pt)) AS d
+      FROM v_seg WHERE {NIGHT}) GROUP BY 1""",
+)
+def _(spark, sf):
+    return C.noise_floor(points(spark, sf), "per_device").withColumn("noise", F.col("noise") * 1000)
+
+
+@query(
+    "a07_span_ratio_and_snr",
+    "cell_name curve:i v_span_ratio:f snr_i:f",
+    "SELECT * FROM v_scores",
+)
+def _(spark, sf):
+    return C.curve_scores(settled_points(spark, sf))
+
+
+@query(
+    "a08_spike_stats",
+    "cell_name curve:i spike_count:i spike_score:f",
+    "SELECT * FROM v_stats",
+)
+def _(spark, sf):
+    return C.curve_stats(points(spark, sf))
+
+
+@query("a09_hysteresis_index", "cell_name curve:i hysteresis_index:f", "SELECT * FROM v_stats")
+def _(spark, sf):
+    return C.curve_stats(points(spark, sf))
+
+
+@query(
+    "a10_curve_decision",
+    "cell_name curve:i rej_night:b rej_unphysical:b rej_vspan_low:b rej_snr_low:b rej_spike:b is_curve_valid:i",
+    "SELECT * FROM v_audit",
+)
+def _(spark, sf):
+    return audit(spark, sf)
+
+
+@query(
+    "j09_curve_stat_broadcast",
+    "event_id:i pt:i i_span:f relative_step:f",
+    "SELECT event_id, pt, i_span, d_i / (i_span + 1e-12) AS relative_step FROM v_flag",
+)
+def _(spark, sf):
+    p = C.curve_points(points(spark, sf))
+    return p.withColumn("relative_step", F.col("d_i") / (F.col("i_span") + 1e-12))
+
+
+@query(
+    "p04_unphysical_point",
+    "cell_name curve:i kept:i",
+    """SELECT cell_name, curve, count(*) AS kept FROM v_flag JOIN v_audit USING (cell_name, curve)
+WHERE NOT (is_unphysical AND is_curve_valid = 1) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    p = settled_points(spark, sf)
+    return C.drop_unphysical_points(p, C.curve_audit(p)).groupBy("cell_name", "curve").agg(F.count("*").alias("kept"))
+
+
+view("v_offsets", """SELECT cell_name, coalesce(sum(n) OVER (ORDER BY cell_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_id
+FROM (SELECT cell_name, max(curve) AS n FROM v_stats GROUP BY 1)""")
+
+
+@query(
+    "w03_curve_global_id",
+    "cell_name curve:i id_curve:i",
+    "SELECT cell_name, curve, row_number() OVER (ORDER BY cell_name, curve) - 1 AS id_curve FROM v_stats",
+)
+def _(spark, sf):
+    per_curve = points(spark, sf).groupBy("cell_name", "curve").agg(F.count("*").alias("n"))
+    return C.curve_global_id(per_curve)
+
+
+CROSS = """
+SELECT cell_name, curve, max(n) AS n,
+  arg_min(v_at_j0, rn) FILTER (turn_j AND v > 0.1) AS voc_cross, arg_min(v_at_j0, rn) FILTER (turn_j) AS compat_cross,
+  arg_min(j_at_v0, rn) FILTER (turn_v) AS jsc_cross,
+  max(v) FILTER (near_j = 1) AS v_nearest, max(j) FILTER (near_v = 1) AS j_nearest,
+  avg(v) FILTER (near_j <= 5) AS v_near5, avg(j) FILTER (near_v <= 5) AS j_near5,
+  min(v) <= 0 AND max(v) >= 0 AS spans
+FROM (
+  SELECT *, sign(j) <> sign(j1) AND j1 IS NOT NULL AS turn_j, sign(v) <> sign(v1) AND v1 IS NOT NULL AS turn_v,
+    v - j * (v1 - v) / nullif(j1 - j, 0) AS v_at_j0, j - v * (j1 - j) / nullif(v1 - v, 0) AS j_at_v0,
+    row_number() OVER (PARTITION BY cell_name, curve ORDER BY abs(j), rn) AS near_j,
+    row_number() OVER (PARTITION BY cell_name, curve ORDER BY abs(v), rn) AS near_v
+  FROM (
+    SELECT *, lead(v) OVER w AS v1, lead(j) OVER w AS j1, row_number() OVER w AS rn,
+      count(*) OVER (PARTITION BY cell_name, curve) AS n
+    FROM (SELECT cell_name, curve, Voltage_V AS v, Current_A * 1000.0 / 0.64 AS j, "Timestamp", pt FROM v_seg)
+    WINDOW w AS (PARTITION BY cell_name, curve ORDER BY v, "Timestamp", pt)))
+GROUP BY 1, 2
+"""
+view("v_cross", CROSS)
+
+
+def _guard(x: str, near: str) -> str:
+    return f"CASE WHEN n >= 10 THEN CASE WHEN {near} <> 0 AND ({x} / {near} >= 1.5 OR {x} <= 0) THEN {near} ELSE {x} END END"
+
+
+view(
+    "v_vj",
+    f"""SELECT cell_name, curve, n, v_near5, j_near5, {_guard('coalesce(voc_cross, v_nearest)', 'v_near5')} AS voc,
+  {_guard('coalesce(jsc_cross, j_nearest)', 'j_near5')} AS jsc,
+  {_guard('(CASE WHEN spans THEN coalesce(compat_cross, v_nearest) ELSE j_nearest END)', 'j_near5')} AS jsc_compat
+FROM v_cross""",
+)
+
+
+def _fit(half: int, row: int) -> str:
+    w = quadratic_fit_weights(half)[row]
+    terms = []
+    for k in range(-half, half + 1):
+        tap = "p" if k == 0 else f"lead(p, {k}) OVER w" if k > 0 else f"lag(p, {-k}) OVER w"
+        terms.append(f"({float(w[k + half])!r}::DOUBLE) * {tap}")
+    return " + ".join(terms)
+
+
+_FITS = ", ".join(
+    f"CASE WHEN n >= 11 THEN {_fit(5, r)} ELSE {_fit(4, r)} END AS {name}"
+    for r, name in enumerate(("level", "slope", "bend"))
+)
+view(
+    "v_smoothed",
+    f"""
+SELECT cell_name, curve, smooth AS p_mpp, v AS v_mpp, j AS j_mpp,
+  CAST(NOT coalesce(smooth > 0 AND v > 0 AND j > 0, false) AS INT) AS err_mpp
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY cell_name, curve ORDER BY smooth DESC NULLS LAST, rn) AS best FROM (
+    SELECT *, CASE WHEN n < 10 THEN NULL
+        WHEN rn <= half THEN hl + hs * (rn - half - 1) + hb * (rn - half - 1) * (rn - half - 1)
+        WHEN rn > n - half THEN tl + ts * (rn - n + half) + tb * (rn - n + half) * (rn - n + half) ELSE level END AS smooth
+    FROM (
+      SELECT *, max(level) FILTER (rn = half + 1) OVER g AS hl, max(slope) FILTER (rn = half + 1) OVER g AS hs,
+        max(bend) FILTER (rn = half + 1) OVER g AS hb, max(level) FILTER (rn = n - half) OVER g AS tl,
+        max(slope) FILTER (rn = n - half) OVER g AS ts, max(bend) FILTER (rn = n - half) OVER g AS tb
+      FROM (
+        SELECT *, CASE WHEN n >= 11 THEN 5 ELSE 4 END AS half, {_FITS} FROM (
+          SELECT *, row_number() OVER (PARTITION BY cell_name, curve ORDER BY v, "Timestamp", pt) AS rn,
+            count(*) OVER (PARTITION BY cell_name, curve) AS n
+          FROM (SELECT cell_name, curve, Voltage_V AS v, Current_A * 1000.0 / 0.64 AS j,
+                  Voltage_V * (Current_A * 1000.0 / 0.64) AS p, "Timestamp", pt FROM v_seg))
+        WINDOW w AS (PARTITION BY cell_name, curve ORDER BY rn))
+      WINDOW g AS (PARTITION BY cell_name, curve))))
+WHERE best = 1
+""",
+)
+view(
+    "v_params",
+    """SELECT *, CASE WHEN raw > 0 AND raw < 1 THEN raw END AS ff FROM (
+  SELECT *, CASE WHEN voc > 0 AND jsc > 0 THEN v_mpp * j_mpp / nullif(voc * jsc, 0) END AS raw
+  FROM v_vj JOIN v_smoothed USING (cell_name, curve))""",
+)
+
+
+@query("w20_voc_interpolated", "cell_name curve:i voc:f", "SELECT * FROM v_vj")
+def _(spark, sf):
+    return C.crossings(points(spark, sf))
+
+
+@query("w21_nearest_k_mean", "cell_name curve:i v_near5:f j_near5:f", "SELECT * FROM v_vj")
+def _(spark, sf):
+    return C.crossings(points(spark, sf))
+
+
+@query("w22_jsc_extract", "cell_name curve:i jsc:f jsc_compat:f", "SELECT * FROM v_vj")
+def _(spark, sf):
+    return C.crossings(points(spark, sf))
+
+
+@query("w23_mpp_smoothed", "cell_name curve:i p_mpp:f v_mpp:f j_mpp:f err_mpp:i", "SELECT * FROM v_smoothed")
+def _(spark, sf):
+    return C.mpp_smoothed(points(spark, sf))
+
+
+@query(
+    "w24_fill_factor",
+    "cell_name curve:i ff:f err_ff:i",
+    "SELECT cell_name, curve, ff, CAST(ff IS NULL AS INT) AS err_ff FROM v_params",
+)
+def _(spark, sf):
+    return C.electrical_parameters(settled_points(spark, sf))
+
+
+view(
+    "v_gate",
+    """SELECT * REPLACE (CASE WHEN rej_dead_cell THEN 0 ELSE is_curve_valid END AS is_curve_valid) FROM (
+  SELECT a.*, p.voc, p.jsc, is_curve_valid = 1 AND (coalesce(voc, 0) < 0.2 OR coalesce(jsc, 0) < 0.5) AS rej_dead_cell
+  FROM v_audit a LEFT JOIN v_vj p USING (cell_name, curve))""",
+)
+
+
+def gated(spark, sf):
+    p = settled_points(spark, sf)
+    return C.physics_gate(C.curve_audit(p), C.crossings(p))
+
+
+@query(
+    "p11_physics_gate",
+    "cell_name curve:i voc:f jsc:f rej_dead_cell:b is_curve_valid:i",
+    "SELECT * FROM v_gate",
+)
+def _(spark, sf):
+    return gated(spark, sf)
+
+
+@query(
+    "j08_composite_key_flag",
+    "cell_name rej_dead_cell:b n_points:i",
+    """SELECT cell_name, rej_dead_cell, count(*) AS n_points FROM v_seg JOIN v_gate USING (cell_name, curve) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    p = settled_points(spark, sf)
+    dead = C.physics_gate(C.curve_audit(p), C.crossings(p)).where("rej_dead_cell")
+    marked = C.composite_key_flag(p, dead, ["cell_name", "curve"], "rej_dead_cell")
+    return marked.groupBy("cell_name", "rej_dead_cell").agg(F.count("*").alias("n_points"))
+
+
+@query(
+    "w25_frozen_points",
+    "cell_name curve:i n_frozen:i frozen_ratio:f",
+    """SELECT cell_name, curve, count(*) FILTER (f) AS n_frozen, avg(CAST(f AS INT)) AS frozen_ratio FROM (
+  SELECT cell_name, curve, max(Voltage_V) OVER w - min(Voltage_V) OVER w <= 1e-4
+      OR max(Current_A) OVER w - min(Current_A) OVER w <= 1e-6 AS f FROM v_seg
+  WINDOW w AS (PARTITION BY cell_name, curve ORDER BY "Timestamp", pt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    f = C.frozen_points(points(spark, sf))
+    return f.groupBy("cell_name", "curve").agg(
+        F.count_if("is_frozen").alias("n_frozen"), F.avg(F.col("is_frozen").cast("double")).alias("frozen_ratio")
+    )
+
+
+@query(
+    "w26_direction_symmetry",
+    "cell_name curve:i is_asymmetric:b is_mean_mismatch:b is_low_span:b",
+    """SELECT cell_name, curve, n_fwd = 0 OR n_rev = 0 OR n_fwd / (n_rev + 1e-9) < 0.85 OR n_fwd / (n_rev + 1e-9) > 1.15 AS is_asymmetric,
+  abs(mf - mr) / (greatest(mf, mr) + 1e-9) > 0.6 AS is_mean_mismatch, v * 1000 <= 150 OR i <= 1e-5 AS is_low_span
+FROM (SELECT cell_name, curve, count(*) FILTER (ScanDirection <> 'Reverse') AS n_fwd, count(*) FILTER (ScanDirection = 'Reverse') AS n_rev,
+  coalesce(avg(Current_A) FILTER (ScanDirection <> 'Reverse'), 0) AS mf, coalesce(avg(Current_A) FILTER (ScanDirection = 'Reverse'), 0) AS mr,
+  max(Voltage_V) - min(Voltage_V) AS v, max(Current_A) - min(Current_A) AS i FROM v_seg GROUP BY 1, 2)""",
+)
+def _(spark, sf):
+    p = settled_points(spark, sf)
+    spans = C.curve_stats(p).select(
+        "cell_name", "curve", ((F.col("v_span") * 1000 <= 150) | (F.col("i_span") <= 1e-5)).alias("is_low_span")
+    )
+    return C.direction_symmetry(p).join(spans, ["cell_name", "curve"])
+
+
+RULE_COUNTS = ", ".join(f"count(*) FILTER ({r}) AS {r}" for r in C.RULES)
+
+
+@query(
+    "a17_qc_yield",
+    "cell_name total:i valid:i rej_night:i rej_unphysical:i rej_vspan_low:i rej_snr_low:i rej_spike:i yield_pct:f",
+    f"""SELECT coalesce(cell_name, '(all)') AS cell_name, count(*) AS total, sum(is_curve_valid) AS valid, {RULE_COUNTS},
+  100.0 * sum(is_curve_valid) / count(*) AS yield_pct FROM v_audit GROUP BY ROLLUP (cell_name)""",
+)
+def _(spark, sf):
+    from helioframe.operators.audits import qc_yield
+
+    return qc_yield(audit(spark, sf)).withColumn("cell_name", F.coalesce("cell_name", F.lit("(all)")))
+
+
+@query(
+    "a18_qc_direction_counts",
+    "ScanDirection n_before:i n_after:i",
+    """SELECT ScanDirection, count(*) AS n_before, count(*) FILTER (is_curve_valid = 1) AS n_after FROM (
+  SELECT DISTINCT cell_name, curve, ScanDirection FROM v_seg) JOIN v_audit USING (cell_name, curve) GROUP BY 1""",
+)
+def _(spark, sf):
+    p = settled_points(spark, sf)
+    seen = p.select("cell_name", "curve", "ScanDirection").distinct()
+    return seen.join(C.curve_audit(p).select("cell_name", "curve", "is_curve_valid"), ["cell_name", "curve"]).groupBy(
+        "ScanDirection"
+    ).agg(F.count("*").alias("n_before"), F.count_if(F.col("is_curve_valid") == 1).alias("n_after"))
+
+
+@query(
+    "a19_curve_timings",
+    "cell_name n_valid:i mean_duration_s:f mean_interval_s:f peak_curves_per_day:i",
+    """
+WITH c AS (SELECT *, CASE WHEN is_curve_valid = 1 THEN (epoch_us(t_max) - epoch_us(t_min)) / 1e6 END AS dur,
+    (epoch_us(t_min) - epoch_us(lag(t_min) OVER (PARTITION BY cell_name ORDER BY t_min, curve))) / 1e6 AS gap,
+    CAST(timezone('Europe/Madrid', t_min AT TIME ZONE 'UTC') AS DATE) AS d FROM v_audit),
+p AS (SELECT cell_name, d, count(*) FILTER (is_curve_valid = 1) AS n FROM c GROUP BY 1, 2)
+SELECT coalesce(cell_name, '(all)') AS cell_name, count(*) FILTER (is_curve_valid = 1) AS n_valid,
+  avg(dur) AS mean_duration_s, avg(gap) FILTER (gap < 3600) AS mean_interval_s,
+  (SELECT max(n) FROM p WHERE p.cell_name = c.cell_name OR c.cell_name IS NULL) AS peak_curves_per_day
+FROM c GROUP BY ROLLUP (cell_name)
+""",
+)
+def _(spark, sf):
+    return C.curve_timings(audit(spark, sf)).withColumn("cell_name", F.coalesce("cell_name", F.lit("(all)")))
+
+
+@query(
+    "a57_span_distribution",
+    "cell_name curve:i span_mv:f is_curve_valid:i",
+    "SELECT cell_name, curve, v_span * 1000 AS span_mv, is_curve_valid FROM v_gate",
+)
+def _(spark, sf):
+    return gated(spark, sf).withColumn("span_mv", F.col("v_span") * 1000)
+
+
+view(
+    "v_turn",
+    """
+SELECT *, first_value(Voltage_V) OVER (PARTITION BY cell_name, curve ORDER BY "Timestamp", pt) AS v0,
+  row_number() OVER (PARTITION BY cell_name, curve ORDER BY "Timestamp", pt) - 1 AS idx,
+  count(*) OVER (PARTITION BY cell_name, curve) AS n FROM v_seg
+""",
+)
+view(
+    "v_split",
+    """SELECT cell_name, curve, n, idx AS idx_turn, n >= 10 AND idx >= 2 AND idx <= n - 3 AS usable FROM (
+  SELECT *, row_number() OVER (PARTITION BY cell_name, curve ORDER BY abs(Voltage_V - v0) DESC, idx) AS best FROM v_turn) WHERE best = 1""",
+)
+
+
+@query("w27_split_at_turnaround", "cell_name curve:i idx_turn:i usable:b", "SELECT * FROM v_split")
+def _(spark, sf):
+    return C.split_at_turnaround(points(spark, sf))
+
+
+view(
+    "v_grid",
+    """
+WITH s AS (SELECT t.cell_name, t.curve, idx, idx_turn,
+    (Voltage_V - min(Voltage_V) OVER g) / (max(Voltage_V) OVER g - min(Voltage_V) OVER g) AS x,
+    (Current_A - min(Current_A) OVER g) / nullif(max(Current_A) OVER g - min(Current_A) OVER g, 0) AS y
+  FROM v_turn t JOIN v_split p ON t.cell_name = p.cell_name AND t.curve = p.curve AND usable
+  WINDOW g AS (PARTITION BY t.cell_name, t.curve)),
+b AS (SELECT cell_name, curve, 0 AS branch, x, y FROM s WHERE idx <= idx_turn
+      UNION ALL SELECT cell_name, curve, 1, x, y FROM s WHERE idx >= idx_turn),
+u AS (SELECT cell_name, curve, branch, x, avg(y) AS y FROM b WHERE y IS NOT NULL GROUP BY ALL),
+l AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, row_number() OVER w AS rn FROM u
+      WINDOW w AS (PARTITION BY cell_name, curve, branch ORDER BY x)),
+e AS (SELECT *, unnest(range(CAST(CASE WHEN rn = 1 THEN 0 ELSE ceil(x * 49) END AS BIGINT),
+        CAST(CASE WHEN x1 IS NULL THEN 50 ELSE ceil(x1 * 49) END AS BIGINT))) AS pos FROM l)
+SELECT cell_name, curve, branch, pos,
+  CASE WHEN x1 IS NULL OR pos / 49.0::DOUBLE < x THEN y ELSE y + (y1 - y) / (x1 - x) * (pos / 49.0::DOUBLE - x) END AS j_norm FROM e
+""",
+)
+
+
+@query("w28_sweep_interpolate", "cell_name curve:i branch:i pos:i j_norm:f", "SELECT * FROM v_grid")
+def _(spark, sf):
+    return C.sweep_interpolate(points(spark, sf))
+
+
+@query(
+    "shape_pseudo_ff",
+    "cell_name curve:i n:i pseudo_FF:f",
+    """SELECT cell_name, curve, sum(n) AS n, avg(m) AS pseudo_FF FROM (
+  SELECT cell_name, curve, branch, count(*) AS n, max(pos / 49.0::DOUBLE * j_norm) AS m FROM v_grid GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    from helioframe.operators.shapes import pseudo_ff
+
+    s = C.shape_vectors(points(spark, sf))
+    return s.withColumn("pseudo_FF", pseudo_ff(F.col("shape"), 50)).withColumn("n", F.size("shape"))

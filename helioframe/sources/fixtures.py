@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helioframe.functions.expr import absolute_humidity, pce_from_power
+from helioframe.functions.stages import spread
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
 
@@ -85,7 +86,7 @@ def curve_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty sweep points per event: a reverse scan, then a forward scan."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "value"))
     eid, i = F.col("event_id"), F.col("pt")
     cell = F.pmod("user_id", F.lit(8))
 
