@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from helioframe.functions.stages import settle
+
 CHUNK = "__chunk"
 
 
@@ -115,6 +117,7 @@ def exact_quantiles(
     if one:
         keys, src = ["__all"], src.withColumn("__all", F.lit(1))
     counts = src.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    counts = settle(counts)  # read three times below
     span = counts.groupBy(*keys).agg(
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("n")
     )

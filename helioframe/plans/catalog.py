@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["telemetry", "lifetime", "sweeps"]
+MODULES = ["telemetry", "lifetime", "sweeps", "audits"]
 
 
 def load() -> None:
