@@ -10,24 +10,19 @@ from helioframe.functions.stages import settle
 from helioframe.operators import asof, audits as A, curves as C
 from helioframe.plans import sweeps_queries as S
 from helioframe.plans.registry import query, view
+from helioframe.plans.stages import staged
 from helioframe.plans.telemetry_queries import b10
 from helioframe.sources import fixtures
 
-_tables: dict[tuple[str, str], object] = {}
-
-
+@staged
 def curve_table(spark, sf):
-    """Stage output shared by the audits: one row per curve, written once per session and input."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _tables:
-        p = S.settled_points(spark, sf)
-        params = settle(C.electrical_parameters(p))
-        t = C.physics_gate(C.curve_audit(p), params).drop("voc", "jsc")
-        t = t.join(params.select("cell_name", "curve", "voc", "jsc", "ff", "p_mpp"), ["cell_name", "curve"])
-        t = t.withColumn("truth", X.physical_truth(F.col("all_night"), F.col("voc"), F.col("jsc")))
-        t = t.withColumn("hour", X.local_hour("t_min")).withColumn("label_curve", F.pmod("curve", F.lit(5)) - 1)
-        _tables[key] = settle(t)
-    return _tables[key]
+    """Stage output shared by the audits: one row per curve."""
+    p = S.settled_points(spark, sf)
+    params = settle(C.electrical_parameters(p))
+    t = C.physics_gate(C.curve_audit(p), params).drop("voc", "jsc")
+    t = t.join(params.select("cell_name", "curve", "voc", "jsc", "ff", "p_mpp"), ["cell_name", "curve"])
+    t = t.withColumn("truth", X.physical_truth(F.col("all_night"), F.col("voc"), F.col("jsc")))
+    return t.withColumn("hour", X.local_hour("t_min")).withColumn("label_curve", F.pmod("curve", F.lit(5)) - 1)
 
 
 view(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["telemetry", "lifetime", "sweeps", "audits"]
+MODULES = ["telemetry", "lifetime", "sweeps", "audits", "daily", "screening"]
 
 
 def load() -> None:

@@ -8,6 +8,7 @@ from helioframe.functions import expr as X
 from helioframe.operators import features, t80
 from helioframe.plans import views  # noqa: F401
 from helioframe.plans.registry import query
+from helioframe.plans.stages import staged
 from helioframe.sources import fixtures
 
 
@@ -15,6 +16,7 @@ def daily(spark, sf):
     return t80.daily_maxima(t80.tracked_rows(fixtures.curve_rows(spark, sf)))
 
 
+@staged
 def lifetimes(spark, sf):
     return t80.t80_table(fixtures.curve_rows(spark, sf))
 
@@ -94,7 +96,7 @@ T80_COLUMNS = (
   combined_survival_days = 'inf'::DOUBLE AS is_censored FROM v_t80""",
 )
 def _(spark, sf):
-    t = lifetimes(spark, sf).withColumn("is_censored", F.col("combined_survival_days") == t80.INF)
+    t = lifetimes.build(spark, sf).withColumn("is_censored", F.col("combined_survival_days") == t80.INF)
     for c in ("survival_days_pce", "survival_days_pff", "combined_survival_days"):
         t = t.withColumn(c, t80.finite(c))
     return t
