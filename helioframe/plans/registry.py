@@ -29,7 +29,7 @@ def view(name: str, sql: str) -> None:
 def query(name: str, columns: str, sql: str | None = None):
     """Register a query.  ``columns`` is ``name[:kind]`` separated by blanks.
 
-    Kinds: ``i`` integer, ``f`` double rounded to 6 digits, ``t`` timestamp,
+    Kinds: ``i`` integer, ``f``/``g`` double rounded to 6/3 digits, ``t`` timestamp,
     ``d`` date, ``b`` boolean as 0/1, none for text.
     """
 
@@ -53,6 +53,8 @@ def present(df: DataFrame, spec: str) -> DataFrame:
             c = c.cast("long")
         elif kind == "f":
             c = F.round(c.cast("double"), 6) + F.lit(0.0)
+        elif kind == "g":
+            c = F.round(c.cast("double"), 3) + F.lit(0.0)
         elif kind == "b":
             c = c.cast("int").cast("long")
         elif kind == "t":
@@ -84,6 +86,7 @@ def oracle(q: Query) -> str:
         c = {
             "i": f"CAST({c} AS BIGINT)",
             "f": f"round(CAST({c} AS DOUBLE), 6) + 0.0",
+            "g": f"round(CAST({c} AS DOUBLE), 3) + 0.0",
             "b": f"CAST(CAST({c} AS INTEGER) AS BIGINT)",
             "t": f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
             "d": f"strftime({c}, '%Y-%m-%d')",
