@@ -111,3 +111,13 @@ COEFFICIENT_GRID = {
 
 # Blend weights tried by the persistence sweep.
 PERSISTENCE_GRID = [0.0, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 0.60, 0.70, 0.80, 0.90, 1.0]
+
+# Booster settings of the two healthy-baseline models and the damage model.
+TWIN_PCE_PARAMS = {"maxIter": 150, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8}
+TWIN_PFF_PARAMS = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 3, "subsamplingRate": 0.8}
+DAMAGE_PARAMS = {"maxIter": 200, "stepSize": 0.03, "maxDepth": 3, "subsamplingRate": 0.75}
+
+# Forest settings of the trajectory models.
+FOREST_PARAMS = {"numTrees": 200, "maxDepth": 4, "minInstancesPerNode": 5}
+
+SEED = 42

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["telemetry", "lifetime", "sweeps", "audits", "daily", "screening", "forecast", "trajectory", "shapes", "dashboards"]
+MODULES = ["telemetry", "lifetime", "sweeps", "audits", "daily", "screening", "forecast", "trajectory", "shapes", "dashboards", "sources", "models"]
 
 
 def load() -> None:

@@ -16,14 +16,11 @@ from helioframe.functions.expr import absolute_humidity
 
 log = logging.getLogger(__name__)
 
-# Raw columns per kind; the ones marked required must not be NULL.
-RAW_SCHEMAS = {
-    "mpp": T.StructType.fromDDL("Timestamp STRING, Voltage_V DOUBLE, Current_A DOUBLE, Power_W DOUBLE"),
-    "jv": T.StructType.fromDDL("Timestamp STRING, Voltage_V DOUBLE, Current_A DOUBLE, ScanDirection STRING"),
-    "meteo": T.StructType.fromDDL(
-        "Timestamp STRING, POA_Irradiance_W_m2 DOUBLE, ModuleTemp_C DOUBLE, AmbientTemp_C DOUBLE, "
-        "RelativeHumidity_pct DOUBLE"
-    ),
+# Raw columns per kind, and those that must not be NULL.
+RAW_COLUMNS = {
+    "mpp": ["Timestamp", "Voltage_V", "Current_A", "Power_W"],
+    "jv": ["Timestamp", "Voltage_V", "Current_A", "ScanDirection"],
+    "meteo": ["Timestamp", "POA_Irradiance_W_m2", "ModuleTemp_C", "AmbientTemp_C", "RelativeHumidity_pct"],
 }
 REQUIRED = {
     "mpp": ["Timestamp", "Voltage_V", "Current_A", "Power_W"],
@@ -32,23 +29,26 @@ REQUIRED = {
 }
 
 
-def device_csv_scan(spark: SparkSession, root: str, kind: str) -> DataFrame:
+def device_csv_scan(
+    spark: SparkSession, root: str, kind: str, glob: str | None = None, device_regex: str | None = None
+) -> DataFrame:
     """All ``<device>/<device>_<kind>.csv`` files as one table with the device name.
 
     Columns are read by header name, so optional ones may be missing; a kind
-    without any file gives an empty table and a warning.
+    without any file gives an empty table and a warning.  Other layouts are
+    described by ``glob`` and ``device_regex``.
     """
-    schema = RAW_SCHEMAS[kind]
-    pattern = f"{root.rstrip('/')}/*/*_{kind}.csv"
-    device = F.regexp_extract(F.input_file_name(), rf"([^/]+)_{kind}\.csv$", 1).alias("cell_name")
+    names = RAW_COLUMNS[kind]
+    pattern = f"{root.rstrip('/')}/{glob or f'*/*_{kind}.csv'}"
+    device = F.regexp_extract(F.col("_metadata.file_path"), device_regex or rf"([^/]+)_{kind}\.csv$", 1).alias("cell_name")
     try:
         raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(pattern)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise
         log.warning("no %s files below %s", kind, root)
-        return spark.createDataFrame([], T.StructType([T.StructField("cell_name", T.StringType()), *schema]))
-    cols = [F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string").alias(f.name) for f in schema]
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ["cell_name", *names]))
+    cols = [F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in names]
     return raw.select(device, *cols)
 
 
@@ -62,7 +62,7 @@ def parse_and_require(df: DataFrame, required: Sequence[str], floats: Sequence[s
 
 def ingest(spark: SparkSession, root: str, kind: str) -> DataFrame:
     raw = device_csv_scan(spark, root, kind)
-    floats = [f.name for f in RAW_SCHEMAS[kind] if f.name not in ("Timestamp", "ScanDirection")]
+    floats = [c for c in RAW_COLUMNS[kind] if c not in ("Timestamp", "ScanDirection")]
     out = parse_and_require(raw, REQUIRED[kind], floats)
     if kind == "meteo":
         out = out.withColumn("AbsoluteHumidity_g_m3", absolute_humidity("AmbientTemp_C", "RelativeHumidity_pct"))
@@ -108,7 +108,7 @@ def report_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-HOURLY = T.StructType.fromDDL(
+HOURLY = (
     "hourly STRUCT<time: ARRAY<STRING>, temperature_2m: ARRAY<DOUBLE>, relative_humidity_2m: ARRAY<DOUBLE>, "
     "shortwave_radiation: ARRAY<DOUBLE>>"
 )

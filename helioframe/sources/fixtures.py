@@ -28,7 +28,11 @@ def _age() -> F.Column:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event: irradiance, temperatures, humidity and power."""
-    e = table(spark, sf_dir, "events")
+    return telemetry_columns(table(spark, sf_dir, "events"))
+
+
+def telemetry_columns(e: DataFrame) -> DataFrame:
+    """The telemetry projection of an event table or stream."""
     cell = F.pmod("user_id", F.lit(8))
     k = F.get_json_object("props", "$.k").cast("double")
     decay = 1.0 - F.col("age") * (1 + F.col("cell_id")) / 300.0
