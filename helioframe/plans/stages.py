@@ -24,3 +24,8 @@ def staged(build):
 
     table.build = build
     return table
+
+
+def reset() -> None:
+    """Forget the stage tables, so that the next use builds them again."""
+    _tables.clear()
