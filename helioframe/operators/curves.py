@@ -96,36 +96,36 @@ def curve_points(points: DataFrame) -> DataFrame:
     return p.withColumn("is_spike", F.coalesce(jump, F.lit(False)))
 
 
-def curve_stats(points: DataFrame) -> DataFrame:
-    """One row per sweep: spans, spike and hysteresis scores, night and sign shares."""
+def _stat_aggregates() -> list[Column]:
     power = F.col("Voltage_V") * F.col("Current_A")
     rev = F.max(F.when(F.col("ScanDirection") == "Reverse", power))
     fwd = F.max(F.when(F.col("ScanDirection") != "Reverse", power))
-    return (
-        curve_points(points)
-        .groupBy(*KEY)
-        .agg(
-            F.max("cell_id").alias("cell_id"),
-            F.count("*").alias("n_points"),
-            (F.max("Voltage_V") - F.min("Voltage_V")).alias("v_span"),
-            F.max("i_span").alias("i_span"),
-            F.bool_and("is_night").alias("all_night"),
-            F.avg(F.col("is_unphysical").cast("double")).alias("neg_ratio"),
-            F.count_if("is_spike").alias("spike_count"),
-            F.avg(F.col("is_spike").cast("double")).alias("spike_score"),
-            (F.abs(rev - fwd) / F.greatest(F.abs(rev), F.lit(1e-12))).alias("hyst"),
-            F.when(rev.isNotNull() & fwd.isNotNull(), F.lit(True)).alias("both"),
-            F.min("Timestamp").alias("t_min"),
-            F.max("Timestamp").alias("t_max"),
-        )
-        .withColumn("hysteresis_index", F.when(F.col("both"), F.col("hyst")))
-        .drop("hyst", "both")
-    )
+    return [
+        F.max("cell_id").alias("cell_id"),
+        F.count("*").alias("n_points"),
+        (F.max("Voltage_V") - F.min("Voltage_V")).alias("v_span"),
+        F.max("i_span").alias("i_span"),
+        F.bool_and("is_night").alias("all_night"),
+        F.avg(F.col("is_unphysical").cast("double")).alias("neg_ratio"),
+        F.count_if("is_spike").alias("spike_count"),
+        F.avg(F.col("is_spike").cast("double")).alias("spike_score"),
+        # NULL when one direction is missing
+        F.when(
+            rev.isNotNull() & fwd.isNotNull(), F.abs(rev - fwd) / F.greatest(F.abs(rev), F.lit(1e-12))
+        ).alias("hysteresis_index"),
+        F.min("Timestamp").alias("t_min"),
+        F.max("Timestamp").alias("t_max"),
+    ]
+
 
+def curve_stats(points: DataFrame) -> DataFrame:
+    """One row per sweep: spans, spike and hysteresis scores, night and sign shares."""
+    return curve_points(points).groupBy(*KEY).agg(*_stat_aggregates())
 
-def curve_scores(points: DataFrame, noise_mode: str = "first_device") -> DataFrame:
+
+def curve_scores(points: DataFrame, noise_mode: str = "first_device", stats: DataFrame | None = None) -> DataFrame:
     """Statistics plus span ratio (to the device median) and signal-to-noise ratio."""
-    stats = settle(curve_stats(points))
+    stats = settle(curve_stats(points)) if stats is None else stats
     med = exact_quantiles(stats, ["cell_name"], "v_span", {"med_span": 0.5}).drop("n")
     floor = noise_floor(points, noise_mode)
     s = stats.join(med, "cell_name", "left")
@@ -157,8 +157,9 @@ def decide(scores: DataFrame, spike_max: Column | None = None) -> DataFrame:
     return d.withColumn("is_curve_valid", (~bad).cast("int"))
 
 
-def curve_audit(points: DataFrame, noise_mode: str = "first_device") -> DataFrame:
-    return decide(curve_scores(points, noise_mode))
+def curve_audit(points: DataFrame, noise_mode: str = "first_device", stats: DataFrame | None = None) -> DataFrame:
+    """Scores and verdict per sweep; settled ``stats`` may be passed in."""
+    return decide(curve_scores(points, noise_mode, stats))
 
 
 def drop_unphysical_points(points: DataFrame, audit: DataFrame) -> DataFrame:
@@ -193,31 +194,33 @@ def device_ids(per_curve: DataFrame) -> DataFrame:
 # -- electrical parameters ----------------------------------------------------
 
 
-def _by_voltage(points: DataFrame) -> tuple[DataFrame, W]:
-    w = W.partitionBy(*KEY).orderBy("Voltage_V", *TIME)
+def _by_voltage(points: DataFrame) -> DataFrame:
+    """Current density, power and positions within the sweep.
+
+    The sorts by nearness come first, while the rows are still narrow; the
+    voltage order comes last and serves every later window.
+    """
+    near = W.partitionBy(*KEY)
+    w = near.orderBy("Voltage_V", *TIME)
     p = points.withColumn("J", X.current_density("Current_A"))
+    p = p.withColumn("near_j", F.row_number().over(near.orderBy(F.abs("J"), "Voltage_V", *TIME)))
+    p = p.withColumn("near_v", F.row_number().over(near.orderBy(F.abs("Voltage_V"), "Voltage_V", *TIME)))
     p = p.withColumn("P", F.col("Voltage_V") * F.col("J"))
-    return p.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy(*KEY))), w
+    return p.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy(*KEY)))
 
 
-def crossings(points: DataFrame) -> DataFrame:
-    """Open-circuit voltage and short-circuit current of each sweep.
+def _crossing_columns(p: DataFrame) -> DataFrame:
+    w = W.partitionBy(*KEY).orderBy("Voltage_V", *TIME)
+    return p.withColumn("v1", F.lead("Voltage_V").over(w)).withColumn("j1", F.lead("J").over(w))
 
-    Linear interpolation at the first sign change in voltage order, guarded by
-    the mean of the five nearest points.  ``jsc_compat`` is the voltage-valued
-    variant kept for comparison.
-    """
-    p, w = _by_voltage(points)
-    v, j = F.col("Voltage_V"), F.col("J")
-    p = p.withColumn("v1", F.lead("Voltage_V").over(w)).withColumn("j1", F.lead("J").over(w))
-    p = p.withColumn("near_j", F.row_number().over(W.partitionBy(*KEY).orderBy(F.abs("J"), "rn")))
-    p = p.withColumn("near_v", F.row_number().over(W.partitionBy(*KEY).orderBy(F.abs("Voltage_V"), "rn")))
-    v1, j1, rn = F.col("v1"), F.col("j1"), F.col("rn")
+
+def _crossing_aggregates() -> list[Column]:
+    v, j, v1, j1, rn = (F.col(c) for c in ("Voltage_V", "J", "v1", "j1", "rn"))
     turn_j = j1.isNotNull() & (F.signum(j) != F.signum(j1))
     turn_v = v1.isNotNull() & (F.signum(v) != F.signum(v1))
     v_at_j0 = v - j * (v1 - v) / F.nullif(j1 - j, F.lit(0.0))
     j_at_v0 = j - v * (j1 - j) / F.nullif(v1 - v, F.lit(0.0))
-    c = p.groupBy(*KEY).agg(
+    return [
         F.max("n").alias("n"),
         F.min_by(v_at_j0, F.when(turn_j & (v > 0.1), rn)).alias("voc_cross"),
         F.min_by(v_at_j0, F.when(turn_j, rn)).alias("compat_cross"),
@@ -226,47 +229,50 @@ def crossings(points: DataFrame) -> DataFrame:
         F.max(F.when(F.col("near_v") == 1, j)).alias("j_nearest"),
         F.avg(F.when(F.col("near_j") <= 5, v)).alias("v_near5"),
         F.avg(F.when(F.col("near_v") <= 5, j)).alias("j_near5"),
-        (F.min("Voltage_V") <= 0).alias("below"),
-        (F.max("Voltage_V") >= 0).alias("above"),
-    )
+        ((F.min("Voltage_V") <= 0) & (F.max("Voltage_V") >= 0)).alias("spans_zero"),
+    ]
+
 
+def _finish_crossings(c: DataFrame) -> DataFrame:
     def guarded(x: Column, near: str) -> Column:
         off = (F.col(near) != 0) & ((F.try_divide(x, F.col(near)) >= 1.5) | (x <= 0))
         return F.when(F.col("n") >= 10, F.when(off, F.col(near)).otherwise(x))
 
-    spans = F.col("below") & F.col("above")
     c = c.withColumn("voc", guarded(F.coalesce("voc_cross", "v_nearest"), "v_near5"))
     c = c.withColumn("jsc", guarded(F.coalesce("jsc_cross", "j_nearest"), "j_near5"))
-    compat = F.when(spans, F.coalesce("compat_cross", "v_nearest")).otherwise(F.col("j_nearest"))
+    compat = F.when(F.col("spans_zero"), F.coalesce("compat_cross", "v_nearest")).otherwise(F.col("j_nearest"))
     c = c.withColumn("jsc_compat", guarded(compat, "j_near5"))
-    return c.select(*KEY, "n", "voc", "jsc", "jsc_compat", "v_near5", "j_near5")
+    return c.drop("voc_cross", "compat_cross", "jsc_cross", "v_nearest", "j_nearest", "spans_zero")
 
 
-def mpp_smoothed(points: DataFrame) -> DataFrame:
-    """Maximum power point of the quadratically smoothed power curve.
+def crossings(points: DataFrame) -> DataFrame:
+    """Open-circuit voltage and short-circuit current of each sweep.
 
-    Inside, the fit is centred on each point; the edges evaluate the first and
-    the last full fit.  Eleven points per fit (nine for a ten-point sweep).
+    Linear interpolation at the first sign change in voltage order, guarded by
+    the mean of the five nearest points.  ``jsc_compat`` is the voltage-valued
+    variant kept for comparison.
     """
-    p, w = _by_voltage(points)
-    taps = {k: (F.lead("P", k).over(w) if k > 0 else F.lag("P", -k).over(w) if k < 0 else F.col("P")) for k in range(-5, 6)}
-    for k, e in taps.items():
-        p = p.withColumn(f"tap{k + 5}", e)
+    return _finish_crossings(_crossing_columns(_by_voltage(points)).groupBy(*KEY).agg(*_crossing_aggregates()))
+
+
+def _smooth_columns(p: DataFrame) -> DataFrame:
+    w = W.partitionBy(*KEY).orderBy("Voltage_V", *TIME)
+    whole = W.partitionBy(*KEY)
+    for k in range(-5, 6):
+        tap = F.lead("P", k).over(w) if k > 0 else F.lag("P", -k).over(w) if k < 0 else F.col("P")
+        p = p.withColumn(f"tap{k + 5}", tap)
     rn, n = F.col("rn"), F.col("n")
 
     def fit(half: int) -> Column:
-        rows = quadratic_fit_weights(half)
         parts = []
-        for weights, name in zip(rows, ("level", "slope", "bend")):
+        for weights, name in zip(quadratic_fit_weights(half), ("level", "slope", "bend")):
             e = F.lit(0.0)
             for k in range(-half, half + 1):
                 e = e + F.lit(float(weights[k + half])) * F.col(f"tap{k + 5}")
             parts.append(e.alias(name))
         return F.struct(*parts)
 
-    half = F.when(n >= 11, 5).otherwise(4)
-    p = p.withColumn("half", half).withColumn("fit", F.when(n >= 11, fit(5)).otherwise(fit(4)))
-    whole = W.partitionBy(*KEY)
+    p = p.withColumn("half", F.when(n >= 11, 5).otherwise(4)).withColumn("fit", F.when(n >= 11, fit(5)).otherwise(fit(4)))
     p = p.withColumn("head", F.max(F.when(rn == F.col("half") + 1, F.col("fit"))).over(whole))
     p = p.withColumn("tail", F.max(F.when(rn == n - F.col("half"), F.col("fit"))).over(whole))
 
@@ -278,13 +284,32 @@ def mpp_smoothed(points: DataFrame) -> DataFrame:
         .when(rn > n - F.col("half"), at("tail", rn - n + F.col("half")))
         .otherwise(F.col("fit.level"))
     )
-    p = p.withColumn("smooth", F.when(n >= 10, smooth))
-    best = F.max_by(F.struct("smooth", "Voltage_V", "J"), F.when(F.col("smooth").isNotNull(), F.struct("smooth", -rn)))
-    m = p.groupBy(*KEY).agg(best.alias("best"), F.max("n").alias("n"))
-    ok = (F.col("p_mpp") > 0) & (F.col("v_mpp") > 0) & (F.col("j_mpp") > 0)
-    return m.select(
-        *KEY, F.col("best.smooth").alias("p_mpp"), F.col("best.Voltage_V").alias("v_mpp"), F.col("best.J").alias("j_mpp")
-    ).withColumn("err_mpp", (~F.coalesce(ok, F.lit(False))).cast("int"))
+    return p.withColumn("smooth", F.when(n >= 10, smooth))
+
+
+def _smooth_aggregates() -> list[Column]:
+    at = F.when(F.col("smooth").isNotNull(), F.struct("smooth", -F.col("rn")))
+    return [F.max_by(F.struct("smooth", "Voltage_V", "J"), at).alias("best")]
+
+
+def _finish_smooth(m: DataFrame) -> DataFrame:
+    ok = (F.col("best.smooth") > 0) & (F.col("best.Voltage_V") > 0) & (F.col("best.J") > 0)
+    return (
+        m.withColumn("p_mpp", F.col("best.smooth"))
+        .withColumn("v_mpp", F.col("best.Voltage_V"))
+        .withColumn("j_mpp", F.col("best.J"))
+        .withColumn("err_mpp", (~F.coalesce(ok, F.lit(False))).cast("int"))
+        .drop("best")
+    )
+
+
+def mpp_smoothed(points: DataFrame) -> DataFrame:
+    """Maximum power point of the quadratically smoothed power curve.
+
+    Inside, the fit is centred on each point; the edges evaluate the first and
+    the last full fit.  Eleven points per fit (nine for a ten-point sweep).
+    """
+    return _finish_smooth(_smooth_columns(_by_voltage(points)).groupBy(*KEY).agg(*_smooth_aggregates()))
 
 
 def fill_factor(v: Column, j: Column, voc: Column, jsc: Column) -> Column:
@@ -292,8 +317,8 @@ def fill_factor(v: Column, j: Column, voc: Column, jsc: Column) -> Column:
     return F.when((raw > 0) & (raw < 1), raw)
 
 
-def electrical_parameters(points: DataFrame) -> DataFrame:
-    c = crossings(points).join(mpp_smoothed(points), KEY)
+def _finish_parameters(c: DataFrame) -> DataFrame:
+    c = _finish_smooth(_finish_crossings(c))
     c = c.withColumn("ff", fill_factor(F.col("v_mpp"), F.col("j_mpp"), F.col("voc"), F.col("jsc")))
     return (
         c.withColumn("err_voc", F.col("voc").isNull().cast("int"))
@@ -302,9 +327,26 @@ def electrical_parameters(points: DataFrame) -> DataFrame:
     )
 
 
-def physics_gate(audit: DataFrame, params: DataFrame) -> DataFrame:
-    """Reject valid sweeps of dead devices: too little voltage or photocurrent."""
-    a = audit.join(params.select(*KEY, "voc", "jsc"), KEY, "left")
+def electrical_parameters(points: DataFrame) -> DataFrame:
+    """All parameters of each sweep from one shuffle by sweep."""
+    p = _smooth_columns(_crossing_columns(_by_voltage(points)))
+    return _finish_parameters(p.groupBy(*KEY).agg(*_crossing_aggregates(), *_smooth_aggregates()))
+
+
+def curve_summary(points: DataFrame) -> DataFrame:
+    """Quality statistics and electrical parameters together: the points are shuffled once."""
+    p = _smooth_columns(_crossing_columns(_by_voltage(curve_points(points))))
+    g = p.groupBy(*KEY).agg(*_stat_aggregates(), *_crossing_aggregates(), *_smooth_aggregates())
+    return _finish_parameters(g)
+
+
+def physics_gate(audit: DataFrame, params: DataFrame | None = None) -> DataFrame:
+    """Reject valid sweeps of dead devices: too little voltage or photocurrent.
+
+    ``params`` is not needed when the audit table carries them already.
+    """
+    has = {"voc", "jsc"} <= set(audit.columns)
+    a = audit if has else audit.join(params.select(*KEY, "voc", "jsc"), KEY, "left")
     weak = (F.coalesce("voc", F.lit(0.0)) < SETTINGS.voc_min) | (F.coalesce("jsc", F.lit(0.0)) < SETTINGS.jsc_min)
     a = a.withColumn("rej_dead_cell", (F.col("is_curve_valid") == 1) & weak)
     return a.withColumn("is_curve_valid", F.when(F.col("rej_dead_cell"), 0).otherwise(F.col("is_curve_valid")))

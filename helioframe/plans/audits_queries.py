@@ -18,9 +18,7 @@ from helioframe.sources import fixtures
 def curve_table(spark, sf):
     """Stage output shared by the audits: one row per curve."""
     p = S.settled_points(spark, sf)
-    params = settle(C.electrical_parameters(p))
-    t = C.physics_gate(C.curve_audit(p), params).drop("voc", "jsc")
-    t = t.join(params.select("cell_name", "curve", "voc", "jsc", "ff", "p_mpp"), ["cell_name", "curve"])
+    t = C.physics_gate(C.curve_audit(p, stats=settle(C.curve_summary(p))))
     t = t.withColumn("truth", X.physical_truth(F.col("all_night"), F.col("voc"), F.col("jsc")))
     return t.withColumn("hour", X.local_hour("t_min")).withColumn("label_curve", F.pmod("curve", F.lit(5)) - 1)
 

@@ -93,7 +93,8 @@ def points(spark, sf):
 
 
 def settled_points(spark, sf):
-    return settle(points(spark, sf))
+    """Raw points as a stored table, then segmented once for all consumers."""
+    return settle(C.segment_cycles(settle(fixtures.sweep_points(spark, sf))))
 
 
 def audit(spark, sf):
@@ -353,7 +354,7 @@ view(
 
 def gated(spark, sf):
     p = settled_points(spark, sf)
-    return C.physics_gate(C.curve_audit(p), C.crossings(p))
+    return C.physics_gate(C.curve_audit(p, stats=settle(C.curve_summary(p))))
 
 
 @query(
@@ -372,7 +373,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     p = settled_points(spark, sf)
-    dead = C.physics_gate(C.curve_audit(p), C.crossings(p)).where("rej_dead_cell")
+    dead = C.physics_gate(C.curve_audit(p, stats=settle(C.curve_summary(p)))).where("rej_dead_cell")
     marked = C.composite_key_flag(p, dead, ["cell_name", "curve"], "rej_dead_cell")
     return marked.groupBy("cell_name", "rej_dead_cell").agg(F.count("*").alias("n_points"))
 
