@@ -27,6 +27,29 @@ def time_chunk(ts: str | Column, seconds: int = 3600) -> Column:
     return F.floor(us / F.lit(seconds * 1_000_000.0)).cast("long")
 
 
+SUB = 1 << 20
+
+
+def split_hot_chunks(
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, max_rows: int, name: str = "chunk"
+) -> DataFrame:
+    """Add a time chunk, cutting chunks with more than ``max_rows`` rows into finer ones.
+
+    One narrow counting pass finds the hot (device, chunk) pairs; they are at most
+    rows / max_rows, and usually none, in which case nothing is joined.  The chunk
+    number never decreases with time.
+    """
+    us, width = F.unix_micros(ts), seconds * 1_000_000
+    base = F.floor(us / F.lit(float(width))).cast("long")
+    sizes = df.groupBy(*keys, base.alias("__base")).agg(F.count("*").alias("__n")).where(F.col("__n") > max_rows)
+    hot = settle(sizes.select(*keys, "__base", F.ceil(4.0 * F.col("__n") / max_rows).alias("__parts")))
+    if hot.isEmpty():
+        return df.withColumn(name, base * SUB)
+    sub = F.least(F.lit(SUB - 1), F.floor(F.pmod(us, F.lit(width)) * (F.col("__parts") / F.lit(float(width)))))
+    j = df.withColumn("__base", base).join(hot, [*keys, "__base"], "left")
+    return j.withColumn(name, F.col("__base") * SUB + F.coalesce(sub, F.lit(0))).select(*df.columns, name)
+
+
 def value_chunk(c: str | Column, width: float) -> Column:
     """Chunk of a numeric ordering column."""
     c = F.col(c) if isinstance(c, str) else c

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from helioframe.config import SETTINGS
 from helioframe.functions import expr as X
-from helioframe.functions.ordered import exact_quantiles, ordered_scan, time_chunk
+from helioframe.functions.ordered import exact_quantiles, ordered_scan, split_hot_chunks, time_chunk
 from helioframe.functions.smoothing import quadratic_fit_weights
 from helioframe.functions.stages import settle
 
@@ -18,17 +18,20 @@ KEY = ["cell_name", "curve"]
 TIME = ["Timestamp", "pt"]
 
 
-def segment_cycles(points: DataFrame, order: Sequence[str] = tuple(TIME), chunk_seconds: int = 3600) -> DataFrame:
+def segment_cycles(
+    points: DataFrame, order: Sequence[str] = tuple(TIME), chunk_seconds: int = 3600, max_rows: int = 5_000_000
+) -> DataFrame:
     """Number the sweeps of each device: a new one at every turn to Reverse.
 
     Each time chunk counts its own starts; whether its first row starts a sweep
-    depends on the direction carried over from the chunk before.
+    depends on the direction carried over from the chunk before.  Chunks denser
+    than ``max_rows`` are cut further.
     """
     inner = W.partitionBy("cell_name", "chunk").orderBy(*order)
     before = F.lag("ScanDirection").over(inner)
     starts = (F.col("ScanDirection") == "Reverse") & before.isNotNull() & (before != "Reverse")
     local = (
-        points.withColumn("chunk", time_chunk("Timestamp", chunk_seconds))
+        split_hot_chunks(points, ["cell_name"], "Timestamp", chunk_seconds, max_rows)
         .withColumn("starts", starts.cast("int"))
         .withColumn("local_no", F.sum("starts").over(inner.rowsBetween(W.unboundedPreceding, 0)))
     )

@@ -18,10 +18,10 @@ def at(seconds):
 # -- segmentation --------------------------------------------------------------
 
 
-def segment(spark, directions, gap=5, chunk=3600):
+def segment(spark, directions, gap=5, chunk=3600, max_rows=5_000_000):
     rows = [("A", 0, i, at(i * gap), d, 0.1 * i, 1.0) for i, d in enumerate(directions)]
     df = spark.createDataFrame(rows, "cell_name string, cell_id int, pt int, Timestamp timestamp, ScanDirection string, Voltage_V double, Current_A double")
-    out = curves.segment_cycles(df, chunk_seconds=chunk)
+    out = curves.segment_cycles(df, chunk_seconds=chunk, max_rows=max_rows)
     return [r["curve"] for r in out.orderBy("pt").collect()]
 
 
@@ -32,6 +32,18 @@ def test_first_row_starts_a_curve_even_when_forward(spark, chunk):
     assert segment(spark, [d[c] for c in "RRRR"], chunk=chunk) == [1, 1, 1, 1]
 
 
+@pytest.mark.parametrize("max_rows", [1, 3, 1000])
+def test_hot_chunks_are_cut_without_changing_the_numbers(spark, max_rows):
+    import itertools
+
+    d = list(itertools.islice(itertools.cycle(["Reverse"] * 3 + ["Forward"] * 4), 60))
+    want, n = [], 0
+    for i, x in enumerate(d):
+        n += i == 0 or (x == "Reverse" and d[i - 1] != "Reverse")
+        want.append(n)
+    assert segment(spark, d, max_rows=max_rows) == want
+
+
 def test_equal_timestamps_follow_the_point_number(spark):
     assert segment(spark, ["Reverse", "Forward", "Reverse"], gap=0) == [1, 1, 2]
 
