@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helioframe.llm import substring
+from helioframe.llm import packing, substring, token_files
 from helioframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +35,15 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
        sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, p: NOT list_contains(ps, p)) END, ' '), '')) AS kept_sha256
 FROM w LEFT JOIN lost USING (k)
 """
+
+
+@query
+def op2_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op10_token_output(spark, sf_dir):
+    index = token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_files.read(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
