@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import packing, substring, token_files
+from helioframe.llm import packing, quality, sharding, substring, token_files
 from helioframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,38 @@ def op2_packing(spark, sf_dir):
 def op10_token_output(spark, sf_dir):
     index = token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return token_files.read(index).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op3_sharding(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    dealt = sharding.interleave(docs, shards=8)
+    return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 of a text's bytes: the table of the reflected polynomial, then one step a byte.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, CAST(i AS BIGINT))) AS tab)"""
+
+
+def crc_sql(text: str) -> str:
+    byte = f"list_transform(range(strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))"
+    step = "xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INTEGER) + 1])"
+    return f"xor(list_reduce({byte}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+SQL["op3_sharding"] = f"""
+WITH {CRC_TABLE},
+s AS (SELECT doc_id, source, coalesce(text, '') AS t, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mix FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY mix, t) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM s),
+g AS (SELECT *, row_number() OVER (ORDER BY (k + CAST(0.5 AS DOUBLE)) / n, source NULLS FIRST, k) - 1 AS pos, count(*) OVER () AS total FROM r)
+SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, {crc_sql('t')} AS text_crc32, 'rows' AS law, CAST(pos * 8 // total AS INTEGER) AS shard,
+       CAST(pos - ((pos * 8 // total) * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM g, crc
+"""
+
+
+@query
+def op1_quality_rules(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "quality_prob")
