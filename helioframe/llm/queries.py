@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import packing, quality, sharding, substring, token_files
+from helioframe.llm import language, packing, quality, sharding, substring, token_files
 from helioframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,11 @@ FROM g, crc
 def op1_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "quality_prob")
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    texts = language.sample(docs.where(~language.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.identify(rows, texts)
