@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import language, packing, quality, sharding, substring, token_files
+from helioframe.llm import extraction, language, packing, quality, sharding, substring, token_files
 from helioframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op8_language_id(spark, sf_dir):
     texts = language.sample(docs.where(~language.held_out(F.col("doc_id"))))
     rows = docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
     return language.identify(rows, texts)
+
+
+@query
+def op6_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages).select("page_id", "url", "text", "n_chars")
