@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import extraction, language, packing, quality, sharding, substring, token_files
+from helioframe.llm import chat, extraction, language, packing, quality, sharding, substring, token_files
 from helioframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,18 @@ def op8_language_id(spark, sf_dir):
 def op6_html_extraction(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extraction.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op9_chat_collapse(spark, sf_dir):
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+SQL["op9_chat_collapse"] = r"""
+WITH g AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS ts FROM conversations GROUP BY conv_id),
+whole AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_copies FROM g GROUP BY ts),
+begun AS (SELECT DISTINCT list_slice(ts, 1, i) AS ts FROM g, unnest(range(1, len(ts))) AS u(i))
+SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS n_copies,
+       array_to_string(list_transform(ts, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || replace(coalesce(x.t, ''), '<|', '<\|') || chr(10)), '') || '<|end|>' AS rendered
+FROM whole ANTI JOIN begun USING (ts)
+"""
