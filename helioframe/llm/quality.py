@@ -11,8 +11,6 @@ Rows meet only as counts: texts with equal votes are one pattern, there are at m
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,38 +114,35 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: DataFrame, names: list[str]) -> dict[str, float]:
+def estimate(patterns: DataFrame, names: list[str]) -> DataFrame:
     """Accuracies of the rules from counted vote patterns (columns ``names`` and ``n``).
 
-    Starts from 'bad if any rule says so'.  Each round is one aggregate of the pattern
-    table; the result is 2 * rules + 1 numbers: ``bad``, and for each rule the chance
-    of a bad vote among its votes on bad and on good texts.
+    One row: ``p_bad``, and for each rule ``<rule>_if_bad`` and ``<rule>_if_good``, the
+    chance of a bad vote among its votes on bad and on good texts.  Starts from 'bad if
+    any rule says so'; each round is one aggregate of the pattern table.
     """
     weight = F.col("n").cast("double")
     bad = F.when(F.least(*[F.col(v) for v in names], F.lit(0)) < 0, F.lit(0.9)).otherwise(F.lit(0.1))
-    got: dict[str, float] = {}
+    share = lambda hit, of, prior: (F.coalesce(F.sum(hit), F.lit(0.0)) + WEIGHT * prior) / (F.coalesce(F.sum(of), F.lit(0.0)) + WEIGHT)
+    spark, rows = patterns.sparkSession, patterns.withColumn("__bad", bad)
     for _ in range(ROUNDS):
-        p = patterns.withColumn("__bad", bad)
-        sums = [F.sum(weight).alias("all"), F.sum(weight * F.col("__bad")).alias("bad")]
+        sums = [share(weight * F.col("__bad"), weight, PRIOR_BAD).alias("p_bad")]
         for v in names:
             voted, against = F.when(F.col(v) != 0, weight), F.when(F.col(v) < 0, weight)
-            sums += [F.sum(x * y).alias(f"{v}_{k}") for k, x, y in (
-                ("vb", voted, F.col("__bad")), ("ab", against, F.col("__bad")), ("vg", voted, 1 - F.col("__bad")), ("ag", against, 1 - F.col("__bad")))]
-        s = p.agg(*sums).first().asDict()
-        s = {k: x or 0.0 for k, x in s.items()}
-        got = {"bad": (s["bad"] + WEIGHT * PRIOR_BAD) / (s["all"] + WEIGHT)}
-        for v in names:
-            got[f"{v}|bad"] = (s[f"{v}_ab"] + WEIGHT * 0.7) / (s[f"{v}_vb"] + WEIGHT)
-            got[f"{v}|good"] = (s[f"{v}_ag"] + WEIGHT * 0.1) / (s[f"{v}_vg"] + WEIGHT)
-        bad = posterior_bad(got, names)
+            sums.append(share(against * F.col("__bad"), voted * F.col("__bad"), 0.7).alias(f"{v}_if_bad"))
+            sums.append(share(against * (1 - F.col("__bad")), voted * (1 - F.col("__bad")), 0.1).alias(f"{v}_if_good"))
+        got = rows.agg(*sums)
+        got = spark.createDataFrame([got.first()], got.schema)  # a round never recomputes the one before
+        rows = patterns.crossJoin(F.broadcast(got)).withColumn("__bad", posterior_bad(names))
     return got
 
 
-def posterior_bad(got: dict[str, float], names: list[str]) -> Column:
-    odds = F.lit(math.log(got["bad"] / (1 - got["bad"])))
+def posterior_bad(names: list[str]) -> Column:
+    """From the votes and the columns of ``estimate``."""
+    odds = F.log(F.col("p_bad") / (1 - F.col("p_bad")))
     for v in names:
-        b, g = got[f"{v}|bad"], got[f"{v}|good"]
-        odds = odds + F.when(F.col(v) < 0, math.log(b / g)).when(F.col(v) > 0, math.log((1 - b) / (1 - g))).otherwise(0.0)
+        b, g = F.col(f"{v}_if_bad"), F.col(f"{v}_if_good")
+        odds = odds + F.when(F.col(v) < 0, F.log(b / g)).when(F.col(v) > 0, F.log((1 - b) / (1 - g))).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -167,8 +162,8 @@ def judge(docs: DataFrame, text: str = "text", keep_from: float = 0.5) -> DataFr
     own = [c for c in docs.columns if c not in added]
     counts = settle(measure(docs.select(*own), text).withColumns(voted))
     patterns = settle(counts.where(~base_failed()).groupBy(*names).agg(F.count("*").alias("n")))
-    got = estimate(patterns, names)
-    good = 1 - posterior_bad(got, names)
-    out = counts.withColumns({"base_failed": base_failed(), "quality_prob": F.round(good, 6)})
+    got = estimate(patterns, names)  # one row
+    good = 1 - posterior_bad(names)
+    out = counts.crossJoin(F.broadcast(got)).withColumns({"base_failed": base_failed(), "quality_prob": F.round(good, 6)})
     kept = ~F.col("base_failed") & (good >= keep_from)
     return out.withColumn("kept", kept).select(*own, *BASE, "base_failed", "quality_prob", "kept")
