@@ -31,7 +31,7 @@ def _encode(text: str, path: str, end_id: int):
         encoder, task, before = tokens.Encoder(path, end_id), TaskContext.get().partitionId(), 0
         for piece in kernel.chunks(batches, text):
             at = piece.schema.get_field_index(text)
-            ids = [encoder(t) for t in piece.column(at).to_pylist()]
+            ids = encoder(piece.column(at).to_pylist())
             ends = before + np.cumsum([len(i) // 4 for i in ids])
             starts = np.concatenate(([before], ends[:-1]))
             before = int(ends[-1])

@@ -119,8 +119,7 @@ def _write(folder: str, text: str, path: str, end_id: int, frame_bytes: int, kee
         for piece in kernel.chunks(batches, text):
             shard = shard or Shard(uri, frame_bytes)
             rows = []
-            for t in piece.column(piece.schema.get_field_index(text)).to_pylist():
-                ids = encoder(t)
+            for ids in encoder(piece.column(piece.schema.get_field_index(text)).to_pylist()):
                 rows.append((task, uri, *shard.add(ids), before, len(ids) // 4))
                 before += len(ids) // 4
             cols = [pa.array(c, pa.string() if n == "file" else pa.int64()) for n, c in zip(INDEX, zip(*rows, strict=True), strict=True)]
