@@ -72,10 +72,16 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def words(texts: list[str | None]) -> Words:
-    """Split a block of texts into words and hash each word."""
+#: Bytes with ASCII capitals made small and every other ASCII sign made a space.
+FOLD = bytes(b if b > 127 or chr(b).isalnum() and not chr(b).isupper() else b + 32 if chr(b).isupper() and b < 128 else 32 for b in range(256))
+
+
+def words(texts: list[str | None], table: bytes | None = None) -> Words:
+    """Split a block of texts into words and hash each word; ``table`` maps their bytes first."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join(raw) + b"\n"
+    if table:
+        data = data.translate(table)
     buf = np.frombuffer(data, dtype=np.uint8)
     space = _SPACE[buf]
     edge = np.empty(len(buf) + 1, dtype=np.int8)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import chat, extraction, language, packing, quality, sharding, substring, token_files
+from helioframe.llm import chat, extraction, language, latent, packing, quality, sharding, substring, token_files
 from helioframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,10 @@ SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS
        array_to_string(list_transform(ts, lambda x: '<|' || coalesce(x.r, '') || '|>' || chr(10) || replace(coalesce(x.t, ''), '<|', '<\|') || chr(10)), '') || '<|end|>' AS rendered
 FROM whole ANTI JOIN begun USING (ts)
 """
+
+
+@query
+def op4_benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = latent.find_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
+    return found.select("doc_id", "m.item_id", "m.cosine", "m.lcs", "m.answer")
