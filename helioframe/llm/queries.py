@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import chat, extraction, language, latent, packing, quality, sharding, substring, token_files
+from helioframe.llm import chat, extraction, language, latent, near, packing, quality, sharding, substring, token_files
 from helioframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,9 @@ def op4_benchmark_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = latent.find_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
     return found.select("doc_id", "m.item_id", "m.cosine", "m.lcs", "m.answer")
+
+
+@query
+def op7_near_duplicates(spark, sf_dir):
+    found = near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id")
