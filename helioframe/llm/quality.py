@@ -146,11 +146,12 @@ def posterior_bad(names: list[str]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def judge(docs: DataFrame, text: str = "text", keep_from: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", keep_from: float = 0.5, carry_text: bool = True) -> DataFrame:
     """Counts, ``base_failed``, ``quality_prob`` and ``kept`` for each row.
 
     Input columns of these names are replaced, all others are kept.  A text is kept if
     it passes the base rule and its probability of being good is at least ``keep_from``.
+    The counts are stored once, with the text only if ``carry_text``.
 
     A null, empty or blank text has no words and fails the base rule.  Texts under eight
     words have no repeated window.  Equal rows get equal verdicts.  An empty table
@@ -160,7 +161,9 @@ def judge(docs: DataFrame, text: str = "text", keep_from: float = 0.5) -> DataFr
     names = list(voted)
     added = [*BASE, *EXTRA, "base_failed", "quality_prob", "kept", *names]
     own = [c for c in docs.columns if c not in added]
-    counts = settle(measure(docs.select(*own), text).withColumns(voted))
+    measured = measure(docs.select(*own), text).withColumns(voted)
+    own = own if carry_text else [c for c in own if c != text]
+    counts = settle(measured if carry_text else measured.drop(text))
     patterns = settle(counts.where(~base_failed()).groupBy(*names).agg(F.count("*").alias("n")))
     got = estimate(patterns, names)  # one row
     good = 1 - posterior_bad(names)

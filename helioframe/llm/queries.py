@@ -80,7 +80,7 @@ FROM g, crc
 
 @query
 def op1_quality_rules(spark, sf_dir):
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), carry_text=False)
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "quality_prob")
 
 
