@@ -364,7 +364,7 @@ def composite_key_flag(df: DataFrame, keys: DataFrame, on: Sequence[str], name:
 # -- earlier rule set -----------------------------------------------------------
 
 
-def frozen_points(points: DataFrame, window: int = 10) -> DataFrame:
+def frozen_points(points: DataFrame, window: int = 15) -> DataFrame:
     """Points at which voltage or current has not moved over the last rows."""
     w = W.partitionBy(*KEY).orderBy(*TIME).rowsBetween(1 - window, 0)
     v = F.max("Voltage_V").over(w) - F.min("Voltage_V").over(w)

@@ -94,12 +94,12 @@ def fleet_mean_efficiency(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def operation_days(rows: DataFrame, t80: DataFrame, cap: float = SETTINGS.burn_in_days) -> DataFrame:
-    """Days from the first row to the failure or the last row, capped; reaching the cap means mature."""
+    """Days from the first row to the failure or the last row, capped; more than the cap means mature."""
     r = rows.groupBy("cell_name").agg(F.min("Timestamp").alias("t0"), F.max("Timestamp").alias("t1"))
     j = r.join(t80.select("cell_name", "combined_failure_date"), "cell_name", "left")
     end = F.least("combined_failure_date", "t1")
     days = (F.unix_micros(end) - F.unix_micros("t0")) / F.lit(86_400_000_000.0)
-    return j.withColumn("operation_days", F.least(days, F.lit(cap))).withColumn("is_mature", days >= cap)
+    return j.withColumn("operation_days", F.least(days, F.lit(cap))).withColumn("is_mature", days > cap)
 
 
 def device_first_seen(rows: DataFrame, value: str) -> DataFrame:

@@ -94,10 +94,13 @@ def feature_correlation(matrix: DataFrame, features: Sequence[str], target: str)
 
 
 def target_profile(matrix: DataFrame, target: str) -> DataFrame:
-    """Distribution of a daily target and its correlation with the day before."""
+    """Distribution of a daily target and its correlation with the day before.
+
+    One row per device, and one with the device NULL over all of them together.
+    """
     t = F.col(target)
     m = matrix.withColumn("before", F.lag(t).over(by_day()))
-    return m.groupBy("cell_name").agg(
+    return m.groupingSets([["cell_name"], []], "cell_name").agg(
         F.count(t).alias("n"),
         F.avg(t).alias("mean"),
         F.percentile(t, 0.5).alias("median"),

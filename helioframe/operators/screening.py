@@ -130,10 +130,9 @@ def alert_summary(alerted: DataFrame, t80: DataFrame) -> DataFrame:
         pct("Alert_PCE").alias("alert_pce_pct"),
         pct("Alert_pFF").alias("alert_pff_pct"),
     )
-    s = s.join(t80.select("cell_name", "survival_days_pce", "survival_days_pff", "combined_survival_days"), "cell_name")
-    s = s.withColumn(
-        "extrinsic_failure", (F.col("combined_survival_days") <= BURN) | (F.col("alert_freq_pct") > GATE)
-    )
+    s = s.join(t80.select("cell_name", "survival_days_pce", "survival_days_pff", "combined_survival_days"), "cell_name", "left")
+    early = F.coalesce(F.col("combined_survival_days") <= BURN, F.lit(False))  # no lifetime row: not failed
+    s = s.withColumn("extrinsic_failure", early | (F.col("alert_freq_pct") > GATE))
     return s.withColumn("Diagnostic_Status", diagnostic_status())
 
 

@@ -402,9 +402,12 @@ def _(spark, sf):
     "SELECT cell_name, count(DISTINCT curve) AS n_valid FROM v_curves WHERE is_curve_valid = 1 GROUP BY 1",
 )
 def _(spark, sf):
-    from helioframe.sources.files import valid_counts
+    from helioframe.plans.sources_queries import scratch
+    from helioframe.sources.files import valid_counts_json
 
-    return valid_counts(curve_table(spark, sf))
+    path = scratch(spark, "counts")
+    valid_counts_json(curve_table(spark, sf), path)
+    return spark.read.schema("cell_name string, n_valid long").json(path)
 
 
 @query(

@@ -249,11 +249,12 @@ def _(spark, sf):
 @query(
     "a39_target_profile",
     "cell_name n:i mean:f median:f std:f min:f max:f skew:f pct_zero:f pct_negative:f lag_corr:f",
-    """WITH r AS (SELECT cell_name, Daily_Damage_Increment AS t, lag(Daily_Damage_Increment) OVER (PARTITION BY cell_name ORDER BY Date_Day) AS b,
-  avg(Daily_Damage_Increment) OVER (PARTITION BY cell_name) AS mu FROM v_rul)
+    """WITH r AS (SELECT cell_name, Daily_Damage_Increment AS t, lag(Daily_Damage_Increment) OVER (PARTITION BY cell_name ORDER BY Date_Day) AS b
+  FROM v_rul),
+g AS (SELECT r.*, avg(t) OVER (PARTITION BY cell_name) AS mu FROM r UNION ALL SELECT NULL, t, b, avg(t) OVER () FROM r)
 SELECT cell_name, count(t) AS n, avg(t) AS mean, quantile_cont(t, 0.5) AS median, stddev_samp(t) AS std, min(t) AS min, max(t) AS max,
   avg(pow(t - mu, 3)) / pow(avg(pow(t - mu, 2)), 1.5) AS skew, 100.0 * count(*) FILTER (t = 0) / count(t) AS pct_zero,
-  100.0 * count(*) FILTER (t < 0) / count(t) AS pct_negative, corr(t, b) AS lag_corr FROM r GROUP BY 1""",
+  100.0 * count(*) FILTER (t < 0) / count(t) AS pct_negative, corr(t, b) AS lag_corr FROM g GROUP BY 1""",
 )
 def _(spark, sf):
     return Z.target_profile(rul_days(spark, sf), "Daily_Damage_Increment")

@@ -99,7 +99,7 @@ def _(spark, sf):
 @query(
     "a54_operation_days",
     "cell_name operation_days:f is_mature:b",
-    """SELECT cell_name, least(d, 14) AS operation_days, d >= 14 AS is_mature FROM (
+    """SELECT cell_name, least(d, 14) AS operation_days, d > 14 AS is_mature FROM (
   SELECT cell_name, (epoch_us(least(combined_failure_date, t1)) - epoch_us(t0)) / 86400000000.0 AS d FROM (
     SELECT cell_name, min("Timestamp") AS t0, max("Timestamp") AS t1 FROM v_rows GROUP BY 1) LEFT JOIN v_t80 USING (cell_name))""",
 )

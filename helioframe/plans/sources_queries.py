@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helioframe.config import Coefficients
@@ -31,21 +32,32 @@ def sweeps_csv(spark, sf) -> str:
         F.col("Current_A").cast("string").alias("Current_A"),
         "ScanDirection",
     )
-    out.write.option("header", True).partitionBy("cell_name").csv(root)
+    # Even devices: the usual columns.  Odd devices: another order and one more column.
+    odd = F.col("cell_name").rlike("[13579]$")
+    out.where(~odd).write.option("header", True).partitionBy("cell_name").csv(f"{root}/a")
+    turned = ["ScanDirection", "Note", "Current_A", "Voltage_V", "Timestamp"]
+    more = out.where(odd).withColumn("Note", F.lit("x,y")).select(*turned, "cell_name")
+    more.write.option("header", True).partitionBy("cell_name").csv(f"{root}/b")
     return root
 
 
 def scanned(spark, sf):
-    return files.device_csv_scan(spark, sweeps_csv(spark, sf), "jv", "*/*.csv", r"cell_name=([^/]+)/")
+    return files.device_csv_scan(spark, sweeps_csv(spark, sf), "jv", "*/*/*.csv", r"cell_name=([^/]+)/")
 
 
 @query(
     "s01_device_csv_scan",
-    "cell_name ScanDirection n:i",
-    "SELECT cell_name, ScanDirection, count(*) AS n FROM v_pts GROUP BY 1, 2",
+    "cell_name ScanDirection n:i n_times:i v_sum:g i_sum:f",
+    """SELECT cell_name, ScanDirection, count(*) AS n, count(*) FILTER (event_id % 97 <> 0) AS n_times,
+  sum(Voltage_V) FILTER (event_id % 89 <> 0) AS v_sum, sum(Current_A) AS i_sum FROM v_pts GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return scanned(spark, sf).groupBy("cell_name", "ScanDirection").agg(F.count("*").alias("n"))
+    return scanned(spark, sf).groupBy("cell_name", "ScanDirection").agg(
+        F.count("*").alias("n"),
+        F.count(F.try_to_timestamp("Timestamp")).alias("n_times"),
+        F.sum(F.col("Voltage_V").try_cast("double")).alias("v_sum"),
+        F.sum(F.col("Current_A").try_cast("double")).alias("i_sum"),
+    )
 
 
 @query(
@@ -64,14 +76,19 @@ def _(spark, sf):
 
 @query(
     "s03_time_sorted_sink",
-    "cell_name n:i t_min:t t_max:t",
-    'SELECT cell_name, count(*) AS n, min("Timestamp") AS t_min, max("Timestamp") AS t_max FROM v_tel GROUP BY 1',
+    "cell_name n:i t_min:t t_max:t n_unsorted:i",
+    'SELECT cell_name, count(*) AS n, min("Timestamp") AS t_min, max("Timestamp") AS t_max, 0 AS n_unsorted FROM v_tel GROUP BY 1',
 )
 def _(spark, sf):
     path = scratch(spark, "sorted")
     files.time_sorted_sink(tel(spark, sf).select("cell_name", "Timestamp", "POA_Irradiance_W_m2"), path)
-    return spark.read.parquet(path).groupBy("cell_name").agg(
-        F.count("*").alias("n"), F.min("Timestamp").alias("t_min"), F.max("Timestamp").alias("t_max")
+    back = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before = F.lag("Timestamp").over(Window.partitionBy("cell_name", "file").orderBy("row"))
+    return back.withColumn("before", before).groupBy("cell_name").agg(
+        F.count("*").alias("n"),
+        F.min("Timestamp").alias("t_min"),
+        F.max("Timestamp").alias("t_max"),
+        F.count_if(F.col("before") > F.col("Timestamp")).alias("n_unsorted"),
     )
 
 

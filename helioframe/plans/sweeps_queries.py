@@ -385,7 +385,7 @@ def _(spark, sf):
     """SELECT cell_name, curve, count(*) FILTER (f) AS n_frozen, avg(CAST(f AS INT)) AS frozen_ratio FROM (
   SELECT cell_name, curve, max(Voltage_V) OVER w - min(Voltage_V) OVER w <= 1e-4
       OR max(Current_A) OVER w - min(Current_A) OVER w <= 1e-6 AS f FROM v_seg
-  WINDOW w AS (PARTITION BY cell_name, curve ORDER BY "Timestamp", pt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) GROUP BY 1, 2""",
+  WINDOW w AS (PARTITION BY cell_name, curve ORDER BY "Timestamp", pt ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)) GROUP BY 1, 2""",
 )
 def _(spark, sf):
     f = C.frozen_points(points(spark, sf))

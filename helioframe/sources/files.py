@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import csv
 import logging
+import re
 from collections.abc import Sequence
 from dataclasses import fields
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,27 +32,52 @@ REQUIRED = {
 }
 
 
+def _layouts(raw: DataFrame, mark: str) -> dict[str, list[str]]:
+    """Files by header line.  The header of a file is its first line with a field named ``mark``."""
+    path, at = F.col("_metadata.file_path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    named = raw.select(path.alias("path"), at.alias("at"), "value").where(F.col("value").rlike(rf'(^|,)\s*"?{mark}"?\s*(,|$)'))
+    plain = lambda p: re.sub(r"^(\w+):/+(?=[^/])", r"\1:/", unquote(p))  # noqa: E731  file:///x and file:/x are one
+    found: dict[str, list[str]] = {}
+    for r in named.groupBy("path").agg(F.min_by("value", "at").alias("header")).toLocalIterator():  # one row a file
+        found.setdefault(r["header"].lstrip("\ufeff").strip(), []).append(plain(r["path"]))
+    missing = set(map(plain, raw.inputFiles())) - {p for paths in found.values() for p in paths}
+    if missing:
+        raise ValueError(f"no header with {mark} in {sorted(missing)[:5]}")
+    return found
+
+
 def device_csv_scan(
     spark: SparkSession, root: str, kind: str, glob: str | None = None, device_regex: str | None = None
 ) -> DataFrame:
     """All ``<device>/<device>_<kind>.csv`` files as one table with the device name.
 
-    Columns are read by header name, so optional ones may be missing; a kind
-    without any file gives an empty table and a warning.  Other layouts are
-    described by ``glob`` and ``device_regex``.
+    Files may differ in the order of their columns, in optional and in further ones:
+    files of one header are read together, by that header, and columns go by name.  A
+    file without the required columns is an error.  A kind without any file gives an
+    empty table and a warning.  Other folders are described by ``glob`` and
+    ``device_regex``.
     """
     names = RAW_COLUMNS[kind]
     pattern = f"{root.rstrip('/')}/{glob or f'*/*_{kind}.csv'}"
     device = F.regexp_extract(F.col("_metadata.file_path"), device_regex or rf"([^/]+)_{kind}\.csv$", 1).alias("cell_name")
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["cell_name", *names]))
     try:
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(pattern)
-    except Exception as e:  # noqa: BLE001
+        raw = spark.read.text(pattern)
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         log.warning("no %s files below %s", kind, root)
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ["cell_name", *names]))
-    cols = [F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in names]
-    return raw.select(device, *cols)
+        return out
+    for header, paths in sorted(_layouts(raw, names[0]).items()):
+        fields = [f.strip() for f in next(csv.reader([header]))]
+        lacking = [c for c in REQUIRED[kind] if c not in fields]
+        if lacking:
+            raise ValueError(f"{lacking} missing in {sorted(paths)[:5]}")
+        schema = T.StructType([T.StructField(f if fields.index(f) == i else f"{f}_{i}", T.StringType()) for i, f in enumerate(fields)])
+        part = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(paths)
+        cols = [F.col(c) if c in fields else F.lit(None).cast("string").alias(c) for c in names]
+        out = out.unionByName(part.select(device, *cols))
+    return out
 
 
 def parse_and_require(df: DataFrame, required: Sequence[str], floats: Sequence[str]) -> DataFrame:
@@ -145,7 +173,3 @@ def coefficients_from_json(text: DataFrame, column: str = "payload") -> DataFram
         complete.alias("is_calibrated"),
     )
 
-
-def save_coefficients(c: Coefficients, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(vars(c), f, indent=2)

@@ -3,6 +3,7 @@
 import csv
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from helioframe.operators import resample
@@ -59,3 +60,18 @@ def test_stream_equals_batch_on_closed_bins(spark, tmp_path):
     want = resample.resample_right_closed(t, cols).where(F.col("bucket") <= F.lit(end))
     rounded = lambda df: sorted((r["cell_name"], r["bucket"], *[round(r[c], 6) for c in cols]) for r in df.collect())
     assert rounded(got) == rounded(want)
+
+
+def test_files_of_different_layouts_keep_their_columns(spark, tmp_path):
+    root = str(tmp_path)
+    write(f"{root}/A/A_meteo.csv", ["Timestamp", "POA_Irradiance_W_m2", "ModuleTemp_C"], [["2024-01-01 00:00:00", 600, 33]])
+    write(f"{root}/B/B_meteo.csv", ["ModuleTemp_C", "RelativeHumidity_pct", "Timestamp", "AmbientTemp_C", "POA_Irradiance_W_m2"], [[34, 50, "2024-01-01 00:00:00", 20, 700]])
+    write(f"{root}/C/C_meteo.csv", ["Note", "Timestamp", "POA_Irradiance_W_m2", "ModuleTemp_C"], [["a,b", "2024-01-01 00:00:00", 800, 35], ["", "2024-01-01 00:10:00", 810, 36]])
+    got = {(r["cell_name"], r["POA_Irradiance_W_m2"], r["ModuleTemp_C"], r["AmbientTemp_C"]) for r in files.ingest(spark, root, "meteo").collect()}
+    assert got == {("A", 600.0, 33.0, None), ("B", 700.0, 34.0, 20.0), ("C", 800.0, 35.0, None), ("C", 810.0, 36.0, None)}
+    write(f"{root}/D/D_meteo.csv", ["Timestamp", "ModuleTemp_C"], [["2024-01-01 00:00:00", 35]])
+    with pytest.raises(ValueError, match="POA_Irradiance_W_m2"):
+        files.ingest(spark, root, "meteo")
+    write(f"{root}/D/D_meteo.csv", ["2024-01-01 00:00:00", "35"], [["2024-01-01 00:10:00", 36]])
+    with pytest.raises(ValueError, match="no header"):
+        files.ingest(spark, root, "meteo")
