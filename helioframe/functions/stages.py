@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 _local_scratch: tempfile.TemporaryDirectory | None = None
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder named by ``spark.checkpoint.dir``; a private one only for a local master."""
+def shared_folder(spark: SparkSession) -> str:
+    """Folder named by ``spark.checkpoint.dir``; a private one only for a local master.
+
+    On a cluster the setting is required: executors share no other folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
-        return None
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _local_scratch
     if _local_scratch is None:
         _local_scratch = tempfile.TemporaryDirectory(prefix="helioframe-")
@@ -27,14 +31,11 @@ def shared_folder(spark: SparkSession) -> str | None:
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage, survives the loss of executors, and keeps column pruning
-    for the readers.  Without a shared folder the plan stays lazy.
+    Cuts the lineage, survives the loss of executors, and keeps column pruning for the
+    readers.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    path = os.path.join(folder, f"stage-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), f"stage-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

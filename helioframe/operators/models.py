@@ -24,7 +24,7 @@ from helioframe.config import (
     DAMAGE_FEATURES, DAMAGE_PARAMS, FOREST_PARAMS, PHYSICAL_FEATURES, SEED, SETTINGS, TRAJECTORY_PARAMETERS, TWIN_FEATURES,
     TWIN_PCE_PARAMS, TWIN_PFF_PARAMS,
 )
-from helioframe.functions.ordered import exact_quantiles
+from helioframe.functions.ordered import exact_quantiles, ordered_scan
 from helioframe.functions.stages import settle
 from helioframe.operators import screening as S, shapes as H
 
@@ -99,6 +99,9 @@ def threshold(folded: DataFrame, metric: str, rounds: int | None = None) -> floa
     return float(S.residual_threshold(res, "r").first()["layered"])  # one number
 
 
+GATE_COLUMNS = "cell_name string, n long, alert_pct double"
+
+
 def loocv_gate(rows: DataFrame, rounds: int | None = None) -> DataFrame:
     """Leave-one-device-out check of the healthy cohort: alert share and verdict per holdout."""
     data = settle(rows)
@@ -107,6 +110,8 @@ def loocv_gate(rows: DataFrame, rounds: int | None = None) -> DataFrame:
 
     def job(holdout: str) -> DataFrame:
         train = data.where("is_healthy AND is_mature").where(F.col("cell_name") != holdout)
+        if train.isEmpty():  # nothing to learn from: no verdict
+            return spark.createDataFrame([(holdout, 0, None)], GATE_COLUMNS)
         early = assemble(data.where("in_action_window").where(F.col("cell_name") == holdout), TWIN_FEATURES)
         folded = settle(S.contiguous_folds(train))
         hit = F.lit(False)
@@ -116,9 +121,8 @@ def loocv_gate(rows: DataFrame, rounds: int | None = None) -> DataFrame:
             hit = hit | (F.col(f"p_{m}") - F.col(f"{m}_Relative") > threshold(folded, m, rounds))
         return early.agg(F.lit(holdout).alias("cell_name"), F.count("*").alias("n"), (100.0 * F.avg(hit.cast("double"))).alias("alert_pct"))
 
-    parts = in_parallel(spark, [lambda c=c: job(c) for c in cohort])
-    out = parts[0]
-    for p in parts[1:]:
+    out = spark.createDataFrame([], GATE_COLUMNS)
+    for p in in_parallel(spark, [lambda c=c: job(c) for c in cohort]):
         out = out.unionByName(p)
     return out.withColumn("verdict", gate_verdict())
 
@@ -190,6 +194,26 @@ def array_median(a: Column) -> Column:
     return (F.element_at(s, F.floor((n + 1) / 2.0).cast("int")) + F.element_at(s, F.ceil((n + 1) / 2.0).cast("int"))) / 2.0
 
 
+def blind(units: DataFrame, rows: DataFrame, fit: Callable, roll: Callable) -> DataFrame | None:
+    """Forecasts of each device by a model that never saw it; None without a second device.
+
+    ``fit`` gets the training rows of the other devices, ``roll`` the device's units and
+    that model.  Devices are fitted from a few threads; each roll is stored.
+    """
+    data, todo = settle(rows), settle(units)
+    cells = [r[0] for r in todo.select("cell_name").distinct().orderBy("cell_name").collect()]  # device names
+
+    def job(c: str) -> DataFrame | None:
+        train = data.where(F.col("cell_name") != c)
+        return None if train.isEmpty() else settle(roll(todo.where(F.col("cell_name") == c), fit(train)))
+
+    out = None
+    for p in in_parallel(units.sparkSession, [lambda c=c: job(c) for c in cells]):
+        if p is not None:
+            out = p if out is None else out.unionByName(p)
+    return out
+
+
 def roll_forward_batch(units: DataFrame, model, horizon: int = SETTINGS.horizon_eval, window: int = 2) -> DataFrame:
     """Advance the damage of all units together, one model pass per horizon day.
 
@@ -217,7 +241,7 @@ def roll_forward_batch(units: DataFrame, model, horizon: int = SETTINGS.horizon_
     return u.withColumn("D_end", F.when(F.col("n_future") > 0, F.col("damage"))).drop("damage", "mem_Daily_Irradiance_Dose", "mem_Daily_Max_Temp_C")
 
 
-def trajectory_roll_forward(units: DataFrame, models: dict, horizon: int = SETTINGS.horizon_eval, window: int = SETTINGS.rolling_window) -> DataFrame:
+def trajectory_roll_forward(units: DataFrame, models: dict, horizon: int = SETTINGS.horizon_sim, window: int = SETTINGS.rolling_window) -> DataFrame:
     """Advance all parameters of all units day by day; states never fall below zero."""
     u = units
     for c in ("Daily_Irradiance_Dose", "Daily_Max_Temp_C"):
@@ -251,7 +275,7 @@ def trajectory_roll_forward(units: DataFrame, models: dict, horizon: int = SETTI
     return z.select(
         "cell_name", "anchor", "n_future", "is_truncated", (F.col("pos") + 1).alias("step"), F.col("z.future.Date_Day").alias("Date_Day"),
         F.col("z.future.Exposure_Days").alias("Exposure_Days"),
-        *[F.col(f"z.future.{p}").alias(f"Actual_{p}") for p in TRAJECTORY_PARAMETERS],
+        *[(F.col(f"z.future.{p}_State") * F.col(f"{p}_Init")).alias(f"Actual_{p}") for p in TRAJECTORY_PARAMETERS],
         *[(F.col(f"z.path_{p}") * F.col(f"{p}_Init")).alias(f"Pred_{p}") for p in TRAJECTORY_PARAMETERS],
     )
 
@@ -266,10 +290,10 @@ def cv_folds(matrix: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def zoo(label: str, rounds: int, trees: int) -> dict:
-    """Estimators compared by the audit; penalties are fixed values."""
-    z = {f"ridge_{a}": LinearRegression(labelCol=label, regParam=a) for a in (0.1, 1.0, 10.0, 100.0)}
-    z["forest"] = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=4, seed=SEED)
+def zoo(label: str, rounds: int, trees: int, n: int = 1) -> dict:
+    """Estimators compared by the audit; penalties are fixed values, for a sum over ``n`` training rows."""
+    z = {f"ridge_{a}": LinearRegression(labelCol=label, regParam=a / n) for a in (0.1, 1.0, 10.0, 100.0)}
+    z["forest"] = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=4, minInstancesPerNode=5, seed=SEED)
     z["booster"] = booster(label, DAMAGE_PARAMS, rounds)
     return z
 
@@ -289,7 +313,7 @@ def model_zoo_cv(matrix: DataFrame, label: str = "Daily_Damage_Increment", round
         elif name == "dummy_median":
             scored = test.crossJoin(F.broadcast(exact_quantiles(train, [], label, {"prediction": 0.5}).drop("n")))  # one row
         else:
-            scored = zoo(label, rounds, trees)[name].fit(train).transform(test)
+            scored = zoo(label, rounds, trees, train.count())[name].fit(train).transform(test)
         return scored.select(F.lit(scheme).alias("scheme"), F.lit(name).alias("model"), y.alias("y"), "prediction")
 
     names = ["dummy_mean", "dummy_median", *zoo(label, rounds, trees)]
@@ -308,24 +332,26 @@ def model_zoo_cv(matrix: DataFrame, label: str = "Daily_Damage_Increment", round
     ).join(med, keys)
 
 
-def permutation_importance(matrix: DataFrame, model, label: str, features: Sequence[str], repeats: int = 20, salts: int = 64) -> DataFrame:
+def permutation_importance(matrix: DataFrame, model, label: str, features: Sequence[str], repeats: int = 20, slices: int = 256) -> DataFrame:
     """Rise of the error when a feature is shuffled; all repeats of a feature are scored in one pass.
 
-    Rows are shuffled inside random groups (a new grouping per repeat), so no
-    global order is needed.
+    Every repeat permutes all rows: two random orders are ranked, each by slices of its
+    own key, and the row of a rank in one order takes the value of that rank in the other.
     """
     key = F.concat_ws("|", "cell_name", F.col("Date_Day").cast("string"))
     base = settle(matrix.select("cell_name", "Date_Day", label, *features).withColumn("key", key))
     plain = model.transform(assemble(base, features)).agg(mae(F.col("prediction"), F.col(label)).alias("base_mae"))
-    reps = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    salt = F.pmod(F.xxhash64("key", "rep"), F.lit(salts))
-    a = W.partitionBy("rep", "salt").orderBy("key")
-    b = W.partitionBy("rep", "salt").orderBy(F.xxhash64("key", "rep", F.lit("order")), "key")
-    shuffled = settle(reps.withColumn("salt", salt).withColumn("ra", F.row_number().over(a)).withColumn("rb", F.row_number().over(b)))
+    shuffled = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    for rank in ("ra", "rb"):
+        at = f"at_{rank}"
+        shuffled = shuffled.withColumn(at, F.xxhash64("key", "rep", F.lit(rank)))
+        part = F.floor(F.col(at) / F.lit(2.0**64 / slices)).cast("long")
+        shuffled = ordered_scan(shuffled, ["rep"], [at, "key"], part, sums={rank: F.lit(1)})
+    shuffled = settle(shuffled)
     out = None
     for f in features:
-        donor = shuffled.select("rep", "salt", F.col("rb").alias("ra"), F.col(f).alias("moved"))
-        s = shuffled.join(donor, ["rep", "salt", "ra"]).withColumn(f, F.col("moved"))
+        donor = shuffled.select("rep", F.col("rb").alias("ra"), F.col(f).alias("moved"))
+        s = shuffled.join(donor, ["rep", "ra"]).withColumn(f, F.col("moved"))
         m = model.transform(assemble(s, features)).groupBy("rep").agg(mae(F.col("prediction"), F.col(label)).alias("m"))
         part = m.agg(F.lit(f).alias("feature"), F.avg("m").alias("m"), F.stddev_samp("m").alias("std"))
         out = part if out is None else out.unionByName(part)
@@ -346,10 +372,10 @@ def loo_error(data: DataFrame, features: Sequence[str], label: str, rounds: int)
         model = booster(label, DAMAGE_PARAMS, rounds).fit(d.where(F.col("cell_name") != c))
         return model.transform(d.where(F.col("cell_name") == c)).groupBy("cell_name").agg(mae(F.col("prediction"), F.col(label)).alias("mae"))
 
-    parts = in_parallel(data.sparkSession, [lambda c=c: job(c) for c in cells])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = data.sparkSession.createDataFrame([], "cell_name string, mae double")
+    if len(cells) > 1:  # one device alone leaves nothing to learn from
+        for p in in_parallel(data.sparkSession, [lambda c=c: job(c) for c in cells]):
+            out = out.unionByName(p)
     return settle(out)
 
 

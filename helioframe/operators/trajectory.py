@@ -21,13 +21,24 @@ MIN_CELLS = 3
 MIN_GAIN = 0.02
 
 
-def trajectory_units(state: DataFrame, anchors: Sequence[float], horizon: int = SETTINGS.horizon_eval) -> DataFrame:
-    """Anchored device rows with the next observed days; too short a future drops the unit."""
-    cols = [*PARAMS, "Daily_Irradiance_Dose", "Daily_Max_Temp_C", "Daily_Median_Humidity"]
-    rows = with_neighbours(state, cols, horizon, 1)
+def trajectory_units(state: DataFrame, anchors: Sequence[float], horizon: int = SETTINGS.horizon_sim, back: int = SETTINGS.rolling_window) -> DataFrame:
+    """Anchored device rows with their last ``back`` and next ``horizon`` days.
+
+    All available days up to ``horizon`` are simulated, the first ``horizon_eval`` of
+    them evaluated.  Too short a future drops the unit; fewer days than an evaluation
+    needs mark it as truncated.
+    """
+    cols = [*[f"{p}_State" for p in PARAMS], "Daily_Irradiance_Dose", "Daily_Max_Temp_C", "Daily_Median_Humidity"]
+    rows = with_neighbours(state, cols, horizon, back)
     u = at_anchors(rows, F.array(*[F.lit(float(a)) for a in anchors]))
     n = F.size("future")
-    return u.where(n >= MIN_FUTURE).withColumn("n_future", n).withColumn("is_truncated", n < horizon)
+    u = u.where(n >= MIN_FUTURE).withColumn("n_future", n).withColumn("n_evaluated", F.least(n, F.lit(SETTINGS.horizon_eval)))
+    return u.withColumn("is_truncated", F.col("n_evaluated") < SETTINGS.horizon_eval)
+
+
+def smoothed(p: str) -> Column:
+    """Measured level of a parameter: its smoothed relative state in physical units."""
+    return F.col(f"{p}_State") * F.col(f"{p}_Init")
 
 
 def drift_motor(units: DataFrame, state: DataFrame) -> DataFrame:
@@ -39,22 +50,22 @@ def drift_motor(units: DataFrame, state: DataFrame) -> DataFrame:
         (F.greatest(F.lit(0.0), F.col(f"{p}_State") + k * F.col(f"loo_{p}_Delta")) * F.col(f"{p}_Init")).alias(f"Pred_{p}") for p in PARAMS
     ]
     return u.select(
-        "cell_name", "anchor", "is_truncated", "n_future", k.alias("step"), F.col("f.Date_Day").alias("Date_Day"),
-        F.col("f.Exposure_Days").alias("Exposure_Days"), *[F.col(f"f.{p}").alias(f"Actual_{p}") for p in PARAMS], *preds,
-        *[F.col(p).alias(f"Anchor_{p}") for p in PARAMS],
+        "cell_name", "anchor", "is_truncated", "n_future", "n_evaluated", k.alias("step"), F.col("f.Date_Day").alias("Date_Day"),
+        F.col("f.Exposure_Days").alias("Exposure_Days"), *[(F.col(f"f.{p}_State") * F.col(f"{p}_Init")).alias(f"Actual_{p}") for p in PARAMS], *preds,
+        *[smoothed(p).alias(f"Anchor_{p}") for p in PARAMS],
     )
 
 
-def trajectory_records(state: DataFrame, forecast: DataFrame, anchor: float, horizon: int = SETTINGS.horizon_eval) -> DataFrame:
+def trajectory_records(state: DataFrame, forecast: DataFrame, anchor: float) -> DataFrame:
     """Calibration rows (measured only) followed by forecast rows (measured and predicted)."""
-    info = forecast.groupBy("cell_name").agg(F.max("n_future").alias("n"), F.max("is_truncated").alias("t"))
-    tail = [F.col("n").alias("Forecast_Horizon_Used"), F.lit(horizon).alias("Evaluation_Horizon_Used"), F.col("t").alias("Forecast_Truncated")]
+    info = forecast.groupBy("cell_name").agg(F.max("n_future").alias("n"), F.max("n_evaluated").alias("e"), F.max("is_truncated").alias("t"))
+    tail = [F.col("n").alias("Forecast_Horizon_Used"), F.col("e").alias("Evaluation_Horizon_Used"), F.col("t").alias("Forecast_Truncated")]
     past = (
         state.where(F.col("Exposure_Days") <= anchor)
         .join(info, "cell_name")
         .select(
             "cell_name", "Date_Day", "Exposure_Days", F.lit("Calibration").alias("Phase"), *tail,
-            *[F.col(p).alias(f"Actual_{p}") for p in PARAMS], *[F.lit(None).cast("double").alias(f"Pred_{p}") for p in PARAMS],
+            *[smoothed(p).alias(f"Actual_{p}") for p in PARAMS], *[F.lit(None).cast("double").alias(f"Pred_{p}") for p in PARAMS],
         )
     )
     ahead = forecast.join(info, "cell_name").select(

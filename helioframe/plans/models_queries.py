@@ -259,15 +259,15 @@ def _(spark, sf):
 
 @query("f04_roll_forward_batch", "cell_name anchor:i D0:f D_end:f n_future:i")
 def _(spark, sf):
-    model = M.damage_increment_model(D.rul_days(spark, sf), ROUNDS)
-    return M.roll_forward_batch(FQ.units(spark, sf), model)
+    fit = lambda train: M.damage_increment_model(train, ROUNDS)
+    return M.blind(FQ.units(spark, sf), D.rul_days(spark, sf), fit, M.roll_forward_batch)
 
 
 @query("f12_trajectory_roll_forward", "cell_name anchor:f step:i Date_Day:d " + " ".join(f"Actual_{p}:f Pred_{p}:f" for p in TRAJECTORY_PARAMETERS))
 def _(spark, sf):
     s = TQ.state(spark, sf)
-    units = T.trajectory_units(s, [14.0])
-    return M.trajectory_roll_forward(settle(units), M.trajectory_models(s, ROUNDS, TREES))
+    fit = lambda train: M.trajectory_models(train, ROUNDS, TREES)
+    return M.blind(T.trajectory_units(s, [14.0]), s, fit, M.trajectory_roll_forward)
 
 
 @query("f08_smoothing_window_sweep", "window:i mae_sensor:f mae_api:f mae_combined:f n_combinations:i")

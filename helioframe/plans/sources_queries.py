@@ -146,12 +146,13 @@ def _(spark, sf):
 @query(
     "x01_streaming_resample",
     "cell_name bucket:t POA_Irradiance_W_m2:f ModuleTemp_C:f Power_W:f",
-    "SELECT * FROM v_b10 WHERE bucket <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "SELECT * FROM v_b10",
 )
 def _(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(os.path.join(sf, "events.parquet")).schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     stream = fixtures.telemetry_columns(raw)
-    out = R.streaming_resample(stream, ["POA_Irradiance_W_m2", "ModuleTemp_C", "Power_W"])
-    return R.run_to_parquet(out)
+    columns = ["POA_Irradiance_W_m2", "ModuleTemp_C", "Power_W"]
+    done = R.run_to_parquet(R.streaming_resample(stream, columns))
+    return done.unionByName(R.open_bins(done, tel(spark, sf), columns))

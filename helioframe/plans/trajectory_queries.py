@@ -19,17 +19,17 @@ view(
 VAL = {"PCE": "PCE_mean", "FF": "FF", "Jsc": "Jsc", "Voc": "Voc"}
 view(
     "v_traj",
-    f"""SELECT *, n_future < 14 AS is_truncated FROM (
-  SELECT f.cell_name, h.anchor, f.Date_Day, f.Exposure_Days, row_number() OVER w AS step, least(14, count(*) OVER (PARTITION BY f.cell_name, h.anchor)) AS n_future,
-    {', '.join(f'f.{VAL[p]} AS Actual_{p}' for p in PS)},
+    f"""SELECT *, least(14, n_future) AS n_evaluated, n_future < 14 AS is_truncated FROM (
+  SELECT f.cell_name, h.anchor, f.Date_Day, f.Exposure_Days, row_number() OVER w AS step, least(30, count(*) OVER (PARTITION BY f.cell_name, h.anchor)) AS n_future,
+    {', '.join(f'f.{p}_State * f.{p}_Init AS Actual_{p}' for p in PS)},
     {', '.join(f'greatest(0, h.{p}_State + row_number() OVER w * loo_{p}) * h.{p}_Init AS Pred_{p}' for p in PS)},
-    {', '.join(f'h.{VAL[p]} AS Anchor_{p}' for p in PS)}
+    {', '.join(f'h.{p}_State * h.{p}_Init AS Anchor_{p}' for p in PS)}
   FROM (SELECT s.*, a.anchor FROM v_state s, (SELECT unnest([3.0, 5.0, 7.0, 10.0, 14.0, 21.0, 28.0]) AS anchor) a
         WHERE s.Exposure_Days <= a.anchor QUALIFY row_number() OVER (PARTITION BY cell_name, a.anchor ORDER BY Exposure_Days DESC) = 1) h
   JOIN v_sdrift USING (cell_name)
   JOIN v_state f ON f.cell_name = h.cell_name AND f.Exposure_Days > h.Exposure_Days
   WINDOW w AS (PARTITION BY f.cell_name, h.anchor ORDER BY f.Date_Day))
-WHERE step <= 14 AND n_future >= 3""",
+WHERE step <= 30 AND n_future >= 3""",
 )
 
 
@@ -49,7 +49,7 @@ ACT = " ".join(f"Actual_{p}:f" for p in PS) + " " + " ".join(f"Pred_{p}:f" for p
 
 @query(
     "f12_drift_trajectories",
-    f"cell_name anchor:f step:i Date_Day:d is_truncated:b n_future:i {ACT}",
+    f"cell_name anchor:f step:i Date_Day:d is_truncated:b n_future:i n_evaluated:i {ACT}",
     "SELECT * FROM v_traj",
 )
 def _(spark, sf):
@@ -58,18 +58,18 @@ def _(spark, sf):
 
 view(
     "v_trec",
-    f"""WITH i AS (SELECT cell_name, max(n_future) AS n, bool_or(is_truncated) AS t FROM v_traj WHERE anchor = 14 GROUP BY 1)
-SELECT cell_name, Date_Day, Exposure_Days, 'Calibration' AS Phase, n AS Forecast_Horizon_Used, 14 AS Evaluation_Horizon_Used, t AS Forecast_Truncated,
-  {', '.join(f'{VAL[p]} AS Actual_{p}' for p in PS)}, {', '.join(f'NULL::DOUBLE AS Pred_{p}' for p in PS)}
+    f"""WITH i AS (SELECT cell_name, max(n_future) AS n, max(n_evaluated) AS e, bool_or(is_truncated) AS t FROM v_traj WHERE anchor = 14 GROUP BY 1)
+SELECT cell_name, Date_Day, Exposure_Days, 'Calibration' AS Phase, n AS Forecast_Horizon_Used, e AS Evaluation_Horizon_Used, t AS Forecast_Truncated,
+  {', '.join(f'{p}_State * {p}_Init AS Actual_{p}' for p in PS)}, {', '.join(f'NULL::DOUBLE AS Pred_{p}' for p in PS)}
 FROM v_state JOIN i USING (cell_name) WHERE Exposure_Days <= 14
-UNION ALL SELECT cell_name, Date_Day, Exposure_Days, 'Forecast', n, 14, t, {', '.join(f'Actual_{p}' for p in PS)}, {', '.join(f'Pred_{p}' for p in PS)}
+UNION ALL SELECT cell_name, Date_Day, Exposure_Days, 'Forecast', n, e, t, {', '.join(f'Actual_{p}' for p in PS)}, {', '.join(f'Pred_{p}' for p in PS)}
 FROM v_traj JOIN i USING (cell_name) WHERE anchor = 14""",
 )
 
 
 @staged
 def records(spark, sf):
-    f = forecast(spark, sf).where("anchor = 14")
+    f = forecast(spark, sf).where("anchor = 14")  # smoothed levels, as the forecast starts from
     return T.trajectory_records(state(spark, sf), f, 14.0)
 
 
@@ -83,7 +83,7 @@ def _(spark, sf):
 
 
 LONG = " UNION ALL ".join(
-    f"SELECT cell_name, anchor, step, is_truncated, '{p}' AS parameter, Actual_{p} AS actual, Pred_{p} AS motor, Anchor_{p} AS persistence FROM v_traj" for p in PS
+    f"SELECT cell_name, anchor, step, is_truncated, '{p}' AS parameter, Actual_{p} AS actual, Pred_{p} AS motor, Anchor_{p} AS persistence FROM v_traj WHERE step <= 14" for p in PS
 )
 view("v_tlong", LONG)
 view(
@@ -148,7 +148,7 @@ def _win(w: int) -> str:
     SELECT *, row_number() OVER {o} AS day_no FROM v_day)))) WHERE PCE_Delta IS NOT NULL AND FF_Delta IS NOT NULL AND Jsc_Delta IS NOT NULL AND Voc_Delta IS NOT NULL),
 d AS (SELECT h.cell_name, {drift} FROM (SELECT DISTINCT cell_name FROM s) h JOIN s r ON r.cell_name <> h.cell_name GROUP BY 1),
 h AS (SELECT * FROM s WHERE Exposure_Days <= 14 QUALIFY row_number() OVER (PARTITION BY cell_name ORDER BY Exposure_Days DESC) = 1),
-j AS (SELECT h.*, d.* EXCLUDE (cell_name), {', '.join(f'f.{VAL[p]} AS act_{p}' for p in PS)},
+j AS (SELECT h.*, d.* EXCLUDE (cell_name), {', '.join(f'f.{p}_State * f.{p}_Init AS act_{p}' for p in PS)},
     row_number() OVER (PARTITION BY h.cell_name ORDER BY f.Date_Day) AS step, count(*) OVER (PARTITION BY h.cell_name) AS n
   FROM h JOIN d USING (cell_name) JOIN s f ON f.cell_name = h.cell_name AND f.Exposure_Days > h.Exposure_Days QUALIFY step <= 14),
 c AS (SELECT parameter, cell_name, avg(e) AS mae FROM ({longs}) WHERE n >= 14 GROUP BY 1, 2)
@@ -214,10 +214,10 @@ def _(spark, sf):
 @query(
     "w16_exposure_quartile_error",
     "bin:i n:i mae:f lo:f hi:f",
-    """WITH t AS (SELECT * FROM v_traj WHERE anchor = 7),
+    """WITH t AS (SELECT * FROM v_traj WHERE anchor = 7 AND step <= 14),
 q AS (SELECT quantile_cont(Exposure_Days, 0.25) AS e1, quantile_cont(Exposure_Days, 0.5) AS e2, quantile_cont(Exposure_Days, 0.75) AS e3 FROM t)
 SELECT CASE WHEN Exposure_Days <= e1 THEN 1 WHEN Exposure_Days <= e2 THEN 2 WHEN Exposure_Days <= e3 THEN 3 ELSE 4 END AS bin, count(*) AS n,
   avg(abs(Pred_PCE - Actual_PCE)) AS mae, min(Exposure_Days) AS lo, max(Exposure_Days) AS hi FROM t, q GROUP BY 1""",
 )
 def _(spark, sf):
-    return T.exposure_quartile_error(forecast(spark, sf).where("anchor = 7"), "Pred_PCE", "Actual_PCE")
+    return T.exposure_quartile_error(forecast(spark, sf).where("anchor = 7 and step <= 14"), "Pred_PCE", "Actual_PCE")

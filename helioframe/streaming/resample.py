@@ -28,13 +28,29 @@ def streaming_resample(
         .withWatermark("shifted", delay)
         .dropDuplicatesWithinWatermark(["cell_name", "Timestamp"])
     )
-    agg = s.groupBy("cell_name", F.window("shifted", f"{seconds} seconds")).agg(*[F.avg(c).alias(c) for c in columns])
+    return _bins(s, columns, seconds)
+
+
+def _bins(shifted: DataFrame, columns: Sequence[str], seconds: int) -> DataFrame:
+    agg = shifted.groupBy("cell_name", F.window("shifted", f"{seconds} seconds")).agg(*[F.avg(c).alias(c) for c in columns])
     out = agg.select("cell_name", F.col("window.end").alias("bucket"), *columns)
     return out.where(F.coalesce(*columns).isNotNull())
 
 
+def open_bins(emitted: DataFrame, readings: DataFrame, columns: Sequence[str], seconds: int = SETTINGS.bucket_seconds) -> DataFrame:
+    """Bins that a finished stream has not emitted: those after its last one, from the readings at rest.
+
+    A bin is emitted once the watermark has passed its end, so all that end up to the
+    last emitted one are complete, and just the readings after it are aggregated.
+    """
+    last = emitted.agg(F.max("bucket").alias("last"))  # one row
+    rest = readings.crossJoin(F.broadcast(last)).where(F.col("last").isNull() | (F.col("Timestamp") > F.col("last")))
+    shifted = F.timestamp_micros(F.unix_micros("Timestamp") - 1)
+    return _bins(rest.withColumn("shifted", shifted).dropDuplicates(["cell_name", "Timestamp"]), columns, seconds)
+
+
 def run_to_parquet(result: DataFrame, path: str | None = None) -> DataFrame:
-    """Process everything available, then stop; returns the written table."""
+    """Process everything available, then stop; returns the bins written so far."""
     spark = result.sparkSession
     base = path or os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
     q = (
