@@ -28,9 +28,11 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Bands of rows each: a pair of similarity 0.8 shares no band with a chance of 3e-6.
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
-#: Signatures below this estimate are not compared on the texts (0.8 is 3.8 deviations above).
-ESTIMATE = 0.68
+#: Signatures below this estimate are not compared on the texts (0.8 is 3.2 deviations above).
+ESTIMATE = 0.7
 BLOCK = 2048
+#: Components that an outsider of a bucket is compared with on the texts in one round.
+NEAREST = 4
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -149,23 +151,32 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return label
 
 
-def _compare(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One block of a bucket against the outsiders of the bucket, on signatures."""
-    a, b = [], []
-    if left.num_rows and right.num_rows:
-        sig = lambda t: np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(t.num_rows, SIZE)
-        members, outsiders = sig(left), sig(right)
-        names = {x: i for i, x in enumerate(set(left.column("label").to_pylist()) | set(right.column("label").to_pylist()))}
-        of = np.array([names[x] for x in left.column("label").to_pylist()])
-        node_l, node_r = left.column("node").to_pylist(), right.column("node").to_pylist()
-        for j, (s, label) in enumerate(zip(outsiders, right.column("label").to_pylist(), strict=True)):
-            hit = np.flatnonzero(((members == s).mean(axis=1) >= ESTIMATE) & (of != names[label]))
-            a += [min(node_l[i], node_r[j]) for i in hit]
-            b += [max(node_l[i], node_r[j]) for i in hit]
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-
-def _rest(buckets: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+def _compare(every: bool):
+    """One block of a bucket against its outsiders, on signatures: all near pairs of
+    different components, or each outsider's nearest partners of a few components."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            sig = lambda t: np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(t.num_rows, SIZE)
+            members, outsiders = sig(left), sig(right)
+            names = {x: i for i, x in enumerate(set(left.column("label").to_pylist()) | set(right.column("label").to_pylist()))}
+            of = np.array([names[x] for x in left.column("label").to_pylist()])
+            node_l, node_r = left.column("node").to_pylist(), right.column("node").to_pylist()
+            for j, (s, label) in enumerate(zip(outsiders, right.column("label").to_pylist(), strict=True)):
+                share = (members == s).mean(axis=1)
+                hit = np.flatnonzero((share >= ESTIMATE) & (of != names[label]))
+                if not every and len(hit):
+                    hit = hit[np.argsort(-share[hit], kind="stable")]
+                    hit = hit[np.sort(np.unique(of[hit], return_index=True)[1])[:NEAREST]]
+                a += [min(node_l[i], node_r[j]) for i in hit]
+                b += [max(node_l[i], node_r[j]) for i in hit]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def _rest(buckets: DataFrame, nodes: DataFrame, label: DataFrame, every: bool) -> DataFrame:
     """Pairs of a bucket that lie in different components and may be similar.
 
     In each bucket that still holds several components, the members outside of its
@@ -183,7 +194,7 @@ def _rest(buckets: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
     there = outside.withColumn("block", F.explode(all_blocks)).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     here = here.withColumn("part", F.explode(all_blocks))
     cols = ["h", "block", "part", "node", "label", "signature"]
-    pairs = here.select(*cols).groupBy("h", "block", "part").cogroup(there.select(*cols).groupBy("h", "block", "part")).applyInArrow(_compare, "a binary, b binary")
+    pairs = here.select(*cols).groupBy("h", "block", "part").cogroup(there.select(*cols).groupBy("h", "block", "part")).applyInArrow(_compare(every), "a binary, b binary")
     return pairs.distinct()
 
 
@@ -220,11 +231,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     est = nodes.select("node", "signature")
     two = verified(_likely(left, est), texts)
     links = one.where("linked").union(two.where("linked"))
-    label = components(links, label)
-    seen = one.union(two).select("a", "b")
-    three = verified(_rest(buckets.select("h", "node"), est, label).join(seen, ["a", "b"], "left_anti"), texts)
-    if not three.where("linked").isEmpty():
-        label = components(links.union(three.where("linked")), label)
+    seen = settle(one.union(two).select("a", "b"))
+
+    # What is still apart in a bucket: nearest partners first, as most pairs are then
+    # connected; once that finds no link, every pair that is left.
+    label, every = components(links, label), False
+    while True:
+        more = verified(_rest(buckets.select("h", "node"), est, label, every).join(seen, ["a", "b"], "left_anti"), texts)
+        found = not more.where("linked").isEmpty()
+        if found:
+            links = settle(links.union(more.where("linked")))
+            label = components(links, label)
+        if every:
+            break
+        seen, every = settle(seen.union(more.select("a", "b"))), not found
 
     named = nodes.select("node", "key").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = settle(named.groupBy("label").agg(F.min("key").alias("class_id")))
