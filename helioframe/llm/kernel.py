@@ -113,7 +113,7 @@ def inside(bounds: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.arange(n) + length <= ends
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text, or of one row if that is longer."""
     for batch in batches:
         n = batch.num_rows
