@@ -98,11 +98,15 @@ class Model:
         tables, self.roots, at = [], [], 0
         for _, t in texts:
             step = suffix_automaton(self.encode(t).tolist())
+            strange = len(step)  # after a symbol that the sample lacks, a piece of its own
+            step.append({})
             table = np.full((len(step), SYMBOLS), -1, dtype=np.int64)
             for s, to in enumerate(step):
                 table[s, list(to)] = list(to.values())
-            restart = np.where(table[0] < 0, 0, table[0])
-            table = np.where(table < 0, 2 * SYMBOLS * (restart + at) + 1, 2 * SYMBOLS * (table + at))
+            restart = np.where(table[0] < 0, strange, table[0])
+            ends = table < 0
+            ends[0] = False  # no piece is open at the start
+            table = 2 * SYMBOLS * (np.where(table < 0, restart, table) + at) + ends
             table[:, SYMBOLS - 1] = 2 * SYMBOLS * at
             tables.append(table.astype(np.int32))
             self.roots.append(SYMBOLS * at)
