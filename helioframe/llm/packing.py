@@ -29,7 +29,7 @@ PIECE = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 def _encode(text: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, before = tokens.Encoder(path, end_id), TaskContext.get().partitionId(), 0
-        for piece in kernel.chunks(batches, text):
+        for piece in kernel.chunks(batches, text, tokens.BATCH):
             at = piece.schema.get_field_index(text)
             ids = encoder(piece.column(at).to_pylist())
             ends = before + np.cumsum([len(i) // 4 for i in ids])

@@ -56,7 +56,7 @@ class Shard:
         system, path = _open(uri)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.out, self.limit = system.open_output_stream(path), frame_bytes
-        self.zstd = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        self.zstd = zstandard.ZstdCompressor(level=1, write_content_size=True)
         self.plain, self.table = bytearray(), []
 
     def add(self, blob: bytes) -> tuple[int, int]:
@@ -116,7 +116,7 @@ def _write(folder: str, text: str, path: str, end_id: int, frame_bytes: int, kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, before, shard = tokens.Encoder(path, end_id), TaskContext.get().partitionId(), 0, None
         uri = f"{folder}/shard-{task:06d}-{uuid.uuid4().hex}.tokz"
-        for piece in kernel.chunks(batches, text):
+        for piece in kernel.chunks(batches, text, tokens.BATCH):
             shard = shard or Shard(uri, frame_bytes)
             rows = []
             for ids in encoder(piece.column(piece.schema.get_field_index(text)).to_pylist()):

@@ -9,7 +9,9 @@ import pyarrow as pa
 
 END_ID = 1
 #: Words whose ids a worker keeps; others are encoded once a call.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
+#: Bytes of text encoded in one call.
+BATCH = 1 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
