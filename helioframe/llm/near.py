@@ -31,8 +31,8 @@ SIZE = BANDS * ROWS
 #: Signatures below this estimate are not compared on the texts (0.8 is 3.2 deviations above).
 ESTIMATE = 0.7
 BLOCK = 2048
-#: Components that an outsider of a bucket is compared with on the texts in one round.
-NEAREST = 4
+#: Components that an outsider is compared with in a round, and rounds before all pairs are.
+NEAREST, NEAREST_ROUNDS = 4, 2
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -151,51 +151,84 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
             return label
 
 
-def _compare(every: bool):
-    """One block of a bucket against its outsiders, on signatures: all near pairs of
-    different components, or each outsider's nearest partners of a few components."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
-        if left.num_rows and right.num_rows:
-            sig = lambda t: np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(t.num_rows, SIZE)
-            members, outsiders = sig(left), sig(right)
-            names = {x: i for i, x in enumerate(set(left.column("label").to_pylist()) | set(right.column("label").to_pylist()))}
-            of = np.array([names[x] for x in left.column("label").to_pylist()])
-            node_l, node_r = left.column("node").to_pylist(), right.column("node").to_pylist()
-            for j, (s, label) in enumerate(zip(outsiders, right.column("label").to_pylist(), strict=True)):
-                share = (members == s).mean(axis=1)
-                hit = np.flatnonzero((share >= ESTIMATE) & (of != names[label]))
-                if not every and len(hit):
-                    hit = hit[np.argsort(-share[hit], kind="stable")]
-                    hit = hit[np.sort(np.unique(of[hit], return_index=True)[1])[:NEAREST]]
-                a += [min(node_l[i], node_r[j]) for i in hit]
-                b += [max(node_l[i], node_r[j]) for i in hit]
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return run
-
-
-def _rest(buckets: DataFrame, nodes: DataFrame, label: DataFrame, every: bool) -> DataFrame:
+def _nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One block of a bucket against its outsiders: each outsider's nearest partners, by signature."""
+    a, b = [], []
+    for j, share, hit in _apart(left, right):
+        hit = hit[np.argsort(-share[hit], kind="stable")]
+        of = left.column("label").take(pa.array(hit)).to_pylist()
+        for i in sorted({x: k for k, x in reversed(list(enumerate(of)))}.values())[:NEAREST]:
+            pair = left.column("node")[int(hit[i])].as_py(), right.column("node")[j].as_py()
+            a.append(min(pair))
+            b.append(max(pair))
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _apart(left: pa.Table, right: pa.Table):
+    """For each outsider: its place, its agreement with the members, and the near ones of other components."""
+    if left.num_rows and right.num_rows:
+        sig = lambda t: np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(t.num_rows, SIZE)
+        members, outsiders = sig(left), sig(right)
+        names = {x: i for i, x in enumerate(set(left.column("label").to_pylist()) | set(right.column("label").to_pylist()))}
+        of = np.array([names[x] for x in left.column("label").to_pylist()])
+        for j, (s, label) in enumerate(zip(outsiders, right.column("label").to_pylist(), strict=True)):
+            same = members == s
+            share = same.mean(axis=1)
+            hit = np.flatnonzero((share >= ESTIMATE) & (of != names[label]))
+            # A pair is met in each band that it shares; the first of them answers for it.
+            first = same[hit].reshape(len(hit), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            hit = hit[first == left.column("band")[0].as_py()]
+            if len(hit):
+                yield j, share, hit
+
+
+def _links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One block of a bucket against its outsiders: the links between components, checked on the texts."""
+    a, b, made = [], [], {}
+
+    def profile(table: pa.Table, i: int):
+        node = table.column("node")[i].as_py()
+        if node not in made:
+            made[node] = profiles([table.column("text")[i].as_py()])[0]
+        return node, made[node]
+
+    linked = set()
+    for j, _, hit in _apart(left, right):
+        mine = right.column("label")[j].as_py()
+        for i in hit.tolist():
+            pair = frozenset((mine, left.column("label")[i].as_py()))
+            if pair not in linked:  # one link joins two components
+                (u, p), (v, q) = profile(left, i), profile(right, j)
+                if similarity(p, q) >= SIMILARITY - 1e-12:
+                    linked.add(pair)
+                    a.append(min(u, v))
+                    b.append(max(u, v))
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _rest(buckets: DataFrame, nodes: DataFrame, label: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Pairs of a bucket that lie in different components and may be similar.
 
     In each bucket that still holds several components, the members outside of its
-    least member's component are compared with all its members, in blocks.
+    least member's component are compared with all its members, in blocks.  Without
+    ``texts`` the nearest partners are returned, unchecked; with them the links.
     """
-    placed = buckets.join(label, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
-    placed = settle(placed)
+    placed = settle(buckets.join(label, "node", "left").select("h", "band", "node", F.coalesce("label", "node").alias("label")))
     split = placed.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("label", "node").alias("main"), F.count("*").alias("n"))
     open_ = split.where("lo != hi").select("h", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = settle(placed.join(open_, "h").join(nodes.select("node", "signature"), "node"))
+    rows = placed.join(open_, "h").join(nodes.select("node", "signature"), "node")
+    cols = ["h", "band", "block", "part", "node", "label", "signature"]
+    if texts is not None:
+        rows, cols = rows.join(texts, "node"), [*cols, "text"]
+    rows = settle(rows)
     outside = rows.where("label != main")
     all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     here = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A bucket's outsiders go to each block of its members, split so that a task holds one block of each.
     there = outside.withColumn("block", F.explode(all_blocks)).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     here = here.withColumn("part", F.explode(all_blocks))
-    cols = ["h", "block", "part", "node", "label", "signature"]
-    pairs = here.select(*cols).groupBy("h", "block", "part").cogroup(there.select(*cols).groupBy("h", "block", "part")).applyInArrow(_compare(every), "a binary, b binary")
-    return pairs.distinct()
+    both = here.select(*cols).groupBy("h", "block", "part").cogroup(there.select(*cols).groupBy("h", "block", "part"))
+    return both.applyInArrow(_nearest if texts is None else _links, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,7 +248,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = docs.schema[key].dataType.simpleString()
     signed = settle(base.where("text is not null").mapInArrow(_sign, f"key {kind}, node binary, bands array<long>, signature binary"))
     nodes = settle(signed.groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
-    rows = nodes.select("node", F.explode("bands").alias("h"))
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     shared = rows.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("h", "leader")
     buckets = settle(rows.join(shared, "h").distinct())
     pairs = settle(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
@@ -230,21 +263,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b").join(one.select("a", "b"), ["a", "b"], "left_anti")
     est = nodes.select("node", "signature")
     two = verified(_likely(left, est), texts)
-    links = one.where("linked").union(two.where("linked"))
+    links = one.where("linked").union(two.where("linked")).select("a", "b")
     seen = settle(one.union(two).select("a", "b"))
 
-    # What is still apart in a bucket: nearest partners first, as most pairs are then
-    # connected; once that finds no link, every pair that is left.
-    label, every = components(links, label), False
-    while True:
-        more = verified(_rest(buckets.select("h", "node"), est, label, every).join(seen, ["a", "b"], "left_anti"), texts)
-        found = not more.where("linked").isEmpty()
-        if found:
-            links = settle(links.union(more.where("linked")))
-            label = components(links, label)
-        if every:
+    # What is still apart in a bucket: nearest partners first, as most texts are then
+    # connected, and at last every pair that is left, inside the tasks.
+    label, members = components(links, label), buckets.select("h", "band", "node")
+    for _ in range(NEAREST_ROUNDS):
+        more = verified(_rest(members, est, label).join(seen, ["a", "b"], "left_anti"), texts)
+        new = more.where("linked").select("a", "b")
+        if new.isEmpty():
             break
-        seen, every = settle(seen.union(more.select("a", "b"))), not found
+        links, seen = settle(links.union(new)), settle(seen.union(more.select("a", "b")))
+        label = components(links, label)
+    last = settle(_rest(members, est, label, texts))
+    if not last.isEmpty():
+        label = components(links.union(last), label)
 
     named = nodes.select("node", "key").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = settle(named.groupBy("label").agg(F.min("key").alias("class_id")))

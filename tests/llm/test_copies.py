@@ -109,14 +109,15 @@ def test_classes_equal_brute_force(spark):
 
 
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
-    """Outsiders meet every block: labels that keep all apart give all near pairs once."""
+    """Outsiders meet every block: labels that keep all apart give a link of each pair."""
     node = [bytes([i]) * 16 for i in range(9)]
     sig = np.zeros(near.SIZE, "<u2").tobytes()
     monkeypatch.setattr(near, "BLOCK", 2)
-    buckets = spark.createDataFrame([(1, n) for n in node], "h long, node binary")
+    buckets = spark.createDataFrame([(1, 0, n) for n in node], "h long, band int, node binary")
+    texts = spark.createDataFrame([(n, "one two three four five six") for n in node], "node binary, text string")
     nodes = spark.createDataFrame([(n, sig) for n in node], "node binary, signature binary")
     label = spark.createDataFrame([(n, n) for n in node], "node binary, label binary")
-    pairs = {(bytes(r["a"]), bytes(r["b"])) for r in near._rest(buckets, nodes, label, True).collect()}
+    pairs = {(bytes(r["a"]), bytes(r["b"])) for r in near._rest(buckets, nodes, label, texts).collect()}
     assert pairs == {(a, b) for a in node for b in node if a < b}
 
 
