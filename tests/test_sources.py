@@ -60,6 +60,10 @@ def test_stream_equals_batch_on_closed_bins(spark, tmp_path):
     want = resample.resample_right_closed(t, cols).where(F.col("bucket") <= F.lit(end))
     rounded = lambda df: sorted((r["cell_name"], r["bucket"], *[round(r[c], 6) for c in cols]) for r in df.collect())
     assert rounded(got) == rounded(want)
+    whole = got.unionByName(stream.open_bins(got, t.union(t.limit(50)), cols))
+    assert rounded(whole) == rounded(resample.resample_right_closed(t, cols))
+    nothing = stream.open_bins(got.limit(0), t, cols)
+    assert rounded(nothing) == rounded(resample.resample_right_closed(t, cols))
 
 
 def test_files_of_different_layouts_keep_their_columns(spark, tmp_path):
