@@ -31,6 +31,8 @@ SIZE = BANDS * ROWS
 #: Signatures below this estimate are not compared on the texts (0.8 is 3.2 deviations above).
 ESTIMATE = 0.7
 BLOCK = 2048
+#: Nodes that may be broadcast (some 50 MB); more of them are joined by a shuffle, with the same result.
+BROADCAST_NODES = 500_000
 #: Components that an outsider is compared with in a round, and rounds before all pairs are.
 NEAREST, NEAREST_ROUNDS = 4, 2
 _STEP = 0x9E3779B97F4A7C15
@@ -252,8 +254,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = rows.groupBy("h").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("h", "leader")
     buckets = settle(rows.join(shared, "h").distinct())
     pairs = settle(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = settle(base.join(met, "node").groupBy("node").agg(F.first("text").alias("text")))
+    met = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    # Only the texts of nodes that met another one travel, while their 16-byte names are few enough to send along.
+    wanted = F.broadcast(met) if met.count() <= BROADCAST_NODES else met
+    texts = settle(base.join(wanted, "node").groupBy("node").agg(F.first("text").alias("text")))
 
     # One leader for each member, then whatever of the stars is not connected by that.
     one = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
