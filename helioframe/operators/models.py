@@ -46,6 +46,11 @@ def booster(label: str, params: dict, rounds: int | None = None, prediction: str
     return GBTRegressor(labelCol=label, featuresCol="features", predictionCol=prediction, seed=SEED, **p)
 
 
+def forest(label: str, trees: int | None = None) -> RandomForestRegressor:
+    p = {**FOREST_PARAMS, **({"numTrees": trees} if trees else {})}
+    return RandomForestRegressor(labelCol=label, featuresCol="features", seed=SEED, **p)
+
+
 def mae(pred: Column, actual: Column) -> Column:
     return F.avg(F.abs(pred - actual))
 
@@ -175,8 +180,7 @@ def trajectory_models(state: DataFrame, rounds: int | None = None, trees: int |
     def job(p: str):
         est = booster(f"{p}_Delta", DAMAGE_PARAMS, rounds)
         if p != "PCE":
-            params = {**FOREST_PARAMS, **({"numTrees": trees} if trees else {})}
-            est = RandomForestRegressor(labelCol=f"{p}_Delta", featuresCol="features", seed=SEED, **params)
+            est = forest(f"{p}_Delta", trees)
         return est.fit(assemble(data, state_features(p)))
 
     fitted = in_parallel(state.sparkSession, [lambda p=p: job(p) for p in TRAJECTORY_PARAMETERS])
@@ -290,15 +294,15 @@ def cv_folds(matrix: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def zoo(label: str, rounds: int, trees: int, n: int = 1) -> dict:
+def zoo(label: str, rounds: int | None = None, trees: int | None = None, n: int = 1) -> dict:
     """Estimators compared by the audit; penalties are fixed values, for a sum over ``n`` training rows."""
     z = {f"ridge_{a}": LinearRegression(labelCol=label, regParam=a / n) for a in (0.1, 1.0, 10.0, 100.0)}
-    z["forest"] = RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=4, minInstancesPerNode=5, seed=SEED)
+    z["forest"] = forest(label, trees)
     z["booster"] = booster(label, DAMAGE_PARAMS, rounds)
     return z
 
 
-def model_zoo_cv(matrix: DataFrame, label: str = "Daily_Damage_Increment", rounds: int = 20, trees: int = 20, k: int = 5) -> DataFrame:
+def model_zoo_cv(matrix: DataFrame, label: str = "Daily_Damage_Increment", rounds: int | None = None, trees: int | None = None, k: int = 5) -> DataFrame:
     """Cross-validated errors of dummies, ridges, forest and booster under two fold schemes."""
     data = settle(assemble(cv_folds(matrix, k), DAMAGE_FEATURES))
     spark = matrix.sparkSession
@@ -363,7 +367,7 @@ def split_gain_importance(model, spark, features: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())], "feature string, importance double")
 
 
-def loo_error(data: DataFrame, features: Sequence[str], label: str, rounds: int) -> DataFrame:
+def loo_error(data: DataFrame, features: Sequence[str], label: str, rounds: int | None = None) -> DataFrame:
     """Leave-one-device-out error of the booster per holdout; ``data`` is settled."""
     cells = [r[0] for r in data.select("cell_name").distinct().orderBy("cell_name").collect()]  # device names
     d = assemble(data, features)
@@ -379,7 +383,7 @@ def loo_error(data: DataFrame, features: Sequence[str], label: str, rounds: int)
     return settle(out)
 
 
-def feature_ablation(matrix: DataFrame, label: str = "Daily_Damage_Increment", features: Sequence[str] = tuple(DAMAGE_FEATURES), rounds: int = 20) -> DataFrame:
+def feature_ablation(matrix: DataFrame, label: str = "Daily_Damage_Increment", features: Sequence[str] = tuple(DAMAGE_FEATURES), rounds: int | None = None) -> DataFrame:
     """Paired change of the error and verdict when each feature is left out."""
     from helioframe.operators.forecast import paired_delta
 
@@ -402,7 +406,7 @@ def null_model_error(matrix: DataFrame, label: str) -> DataFrame:
     return m.join(med, "cell_name").groupBy("cell_name").agg(mae(F.col("median"), F.col("y")).alias("mae"), F.count("*").alias("n"))
 
 
-def window_signal_sweep(curves: DataFrame, windows: Sequence[int], rounds: int = 20, k: int = 5) -> DataFrame:
+def window_signal_sweep(curves: DataFrame, windows: Sequence[int], rounds: int | None = None, k: int = 5) -> DataFrame:
     """Gain of the booster over the mean for several smoothing windows."""
     from helioframe.operators.features import daily_rul_matrix
 

@@ -1,8 +1,8 @@
 """Model-based operators.
 
-Boosted models run with few rounds here; the settings of a real fit are the
-defaults in ``config``.  What SQL can express of an operator (folds, gates,
-closed-form fits, residual statistics) is checked; fits are rows-only.
+Boosters and forests have the rounds and trees of ``config``.  What SQL can express
+of an operator (folds, gates, closed-form fits, residual statistics) is checked;
+fits are rows-only.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from helioframe.plans.registry import query, view
 from helioframe.plans.stages import staged
 from helioframe.sources import fixtures
 
-ROUNDS, TREES = 5, 10
-
 
 @staged
 def twin_features(spark, sf):
@@ -32,12 +30,12 @@ def twin_features(spark, sf):
 
 @query("m10_healthy_twin", "event_id:i PCE_Pred:f pFF_Pred:f Under_PCE:f Under_pFF:f Alert_PCE:b Alert_pFF:b Digital_Twin_Alert:b")
 def _(spark, sf):
-    return M.healthy_twin(twin_features(spark, sf), ROUNDS)
+    return M.healthy_twin(twin_features(spark, sf))
 
 
 @query("m12_loocv_gate_boosted", "cell_name n:i alert_pct:f verdict")
 def _(spark, sf):
-    return M.loocv_gate(twin_features(spark, sf), 3)
+    return M.loocv_gate(twin_features(spark, sf))
 
 
 GATE = """
@@ -105,12 +103,12 @@ def _(spark, sf):
 @query("m15_damage_increment_model", "cell_name Date_Day:d Daily_Damage_Increment:f prediction:f")
 def _(spark, sf):
     d = D.rul_days(spark, sf)
-    return M.damage_increment_model(d, ROUNDS).transform(M.assemble(d, DAMAGE_FEATURES))
+    return M.damage_increment_model(d).transform(M.assemble(d, DAMAGE_FEATURES))
 
 
 @query("m16_trajectory_models", "parameter feature importance:f")
 def _(spark, sf):
-    models = M.trajectory_models(TQ.state(spark, sf), ROUNDS, TREES)
+    models = M.trajectory_models(TQ.state(spark, sf))
     out = None
     for p in TRAJECTORY_PARAMETERS:
         part = M.split_gain_importance(models[p], spark, M.state_features(p)).withColumn("parameter", F.lit(p))
@@ -120,19 +118,19 @@ def _(spark, sf):
 
 @query("m17_model_zoo_cv", "scheme model n:i mae:f rmse:f medae:f r2:f")
 def _(spark, sf):
-    return M.model_zoo_cv(D.rul_days(spark, sf), rounds=ROUNDS, trees=TREES)
+    return M.model_zoo_cv(D.rul_days(spark, sf))
 
 
 @query("m18_permutation_importance", "feature importance:f std:f")
 def _(spark, sf):
     d = D.rul_days(spark, sf)
-    return M.permutation_importance(d, M.damage_increment_model(d, ROUNDS), "Daily_Damage_Increment", DAMAGE_FEATURES)
+    return M.permutation_importance(d, M.damage_increment_model(d), "Daily_Damage_Increment", DAMAGE_FEATURES)
 
 
 @query("m19_split_gain_importance", "feature importance:f")
 def _(spark, sf):
     d = D.rul_days(spark, sf)
-    return M.split_gain_importance(M.damage_increment_model(d, ROUNDS), spark, DAMAGE_FEATURES)
+    return M.split_gain_importance(M.damage_increment_model(d), spark, DAMAGE_FEATURES)
 
 
 RES_FEATURES = ["POA_Irradiance_W_m2", "ModuleTemp_C", "AbsoluteHumidity_g_m3"]
@@ -201,7 +199,7 @@ def signal_verdict(scores):
 
 @query("m22_feature_ablation", "feature n_folds:i mae_baseline:f mae_other:f delta_mean:f delta_se:f verdict")
 def _(spark, sf):
-    return M.feature_ablation(D.rul_days(spark, sf), rounds=2)
+    return M.feature_ablation(D.rul_days(spark, sf))
 
 
 @query(
@@ -254,20 +252,18 @@ def _(spark, sf):
 
 @query("m24_window_signal_sweep", "window:i mae_model:f mae_mean:f gain_pct:f")
 def _(spark, sf):
-    return M.window_signal_sweep(settle(D.current(spark, sf)), T.WINDOWS, rounds=2)
+    return M.window_signal_sweep(settle(D.current(spark, sf)), T.WINDOWS)
 
 
 @query("f04_roll_forward_batch", "cell_name anchor:i D0:f D_end:f n_future:i")
 def _(spark, sf):
-    fit = lambda train: M.damage_increment_model(train, ROUNDS)
-    return M.blind(FQ.units(spark, sf), D.rul_days(spark, sf), fit, M.roll_forward_batch)
+    return M.blind(FQ.units(spark, sf), D.rul_days(spark, sf), M.damage_increment_model, M.roll_forward_batch)
 
 
 @query("f12_trajectory_roll_forward", "cell_name anchor:f step:i Date_Day:d " + " ".join(f"Actual_{p}:f Pred_{p}:f" for p in TRAJECTORY_PARAMETERS))
 def _(spark, sf):
     s = TQ.state(spark, sf)
-    fit = lambda train: M.trajectory_models(train, ROUNDS, TREES)
-    return M.blind(T.trajectory_units(s, [14.0]), s, fit, M.trajectory_roll_forward)
+    return M.blind(T.trajectory_units(s, [14.0]), s, M.trajectory_models, M.trajectory_roll_forward)
 
 
 @query("f08_smoothing_window_sweep", "window:i mae_sensor:f mae_api:f mae_combined:f n_combinations:i")
