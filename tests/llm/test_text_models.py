@@ -133,6 +133,38 @@ def test_benchmark_passages_and_paraphrases(spark, odd, empty):
     assert all(r["matches"] == [] for r in latent.find_items(odd, bench.limit(0)).collect())
 
 
+def test_long_benchmark_items(spark):
+    rng = random.Random(8)
+    common = [f"word{i}" for i in range(400)]
+    prose = lambda n, tag: [rng.choice(common) if rng.random() < 0.7 else f"{tag}{rng.randint(0, 300)}" for _ in range(n)]
+    words = {k: prose(n, f"i{k}x") for k, n in enumerate((20, 64, 65, 113, 150, 187, 300, 1000))}
+
+    def swapped(w, part):
+        at = set(rng.sample(range(len(w)), int(len(w) * part)))
+        return [f"new{j}" if j in at else x for j, x in enumerate(w)]
+
+    rows, want = [], {}
+    for k, w in words.items():
+        stretched = [y for x in w for y in ([x, "between"] if rng.random() < 0.3 else [x])]
+        for j, body in enumerate((w, swapped(w, 0.1), stretched)):
+            rows.append((100 * j + k, " ".join([*prose(70 + 7 * k, "d"), *body, *prose(90, "d")])))
+            want[100 * j + k] = [k]
+        rows.append((300 + k, " ".join(w[: len(w) // 2] + prose(len(w), "d"))))  # half an item is none
+        want[300 + k] = []
+    rows += [(1000 + k, " ".join(prose(900, "d"))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in words.items()], "item_id long, text string")
+    got = {r["doc_id"]: [m["item_id"] for m in r["matches"]] for r in latent.find_items(docs, bench).collect()}
+    assert got == {d: want.get(d, []) for d, _ in rows}
+
+
+def test_rounds_of_a_benchmark_are_bounded_by_parts(monkeypatch):
+    items = [(k, " ".join(["w"] * n)) for k, n in enumerate((10, 64, 65, 500, 97, 0))]
+    assert [list(latent.part_starts(n)) for n in (0, 1, 64, 65, 96, 97)] == [[0], [0], [0], [0, 32], [0, 32], [0, 32, 64]]
+    monkeypatch.setattr(latent, "ROUND", 4)
+    assert [[i for i, _ in some] for some in latent.rounds(items)] == [[0, 1, 2], [3], [4, 5]]
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
