@@ -5,14 +5,16 @@ text is parsed greedily into the longest pieces that occur in that sample; the n
 of pieces, times the logarithm of the sample's length, over the text's length is the
 cross-parsing entropy.  The language with the least of it wins.
 
-The automata are laid out as one table of transitions, in which a missing transition
-starts the next piece, and many stretches of many texts walk it side by side.
+Every letter of the samples has a number of its own, whatever its script.  The
+transitions of all automata share one array: a state is a place in it, its transition
+by a symbol lies that many entries further on and names the state it belongs to.  A
+missing transition starts the next piece; many stretches of many texts walk side by side.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import random
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +31,10 @@ from helioframe.llm.common import ship
 PIECES, PIECE_CHARS = 64, 512
 #: Characters of all languages together; with many languages each one's sample is shorter.
 TOTAL_CHARS = 1 << 18
-#: Symbols: 0 anything but letters, 1 a letter not listed, the last one is padding.
-SYMBOLS = 64
+#: Symbols: 0 anything but letters, 1 a letter that no sample has, 2 padding, then the letters of the samples.
+OTHER, STRANGE, PADDING, LETTERS = 0, 1, 2, 3
+#: Entries of the array of transitions for each transition.
+ROOM = 4
 #: Letters of a stretch; a new piece starts at each stretch.
 STRETCH = 1024
 UNKNOWN = "und"
@@ -86,47 +90,70 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
+def lay_out(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Array of transitions of some states, and the place of each state in it.
+
+    The entry at place + symbol holds the state's own place (upper half) and the place of
+    the next state, or else the place of another state, or -1.  Places are distinct.
+    """
+    used = bytearray(width + max(1024, ROOM * sum(map(len, rows)), ROOM * len(rows)))
+    places, taken = [0] * len(rows), set()
+    rng, size = random.Random(3), len(used)
+    for s in sorted(range(len(rows)), key=lambda s: -len(rows[s])):
+        symbols = list(rows[s]) or [0]
+        first, tries = symbols[0], 0
+        at = width + int(rng.random() * (size - width))
+        while at - first in taken or any(used[k] for c in symbols if (k := at - first + c) < len(used)):
+            tries += 1
+            at = width + int(rng.random() * (size - width)) if tries < 256 else at + 1
+        places[s] = at - first
+        taken.add(at - first)
+        if at - first + width > len(used):
+            used.extend(bytes(at - first + width - len(used)))
+        for c in rows[s]:
+            used[at - first + c] = 1
+    table = np.full(max([len(used), *(p + width for p in places)]), -1, dtype=np.int64)
+    for p, row in zip(places, rows, strict=True):
+        for c, to in row.items():
+            table[p + c] = p << 32 | places[to]
+    return table, np.array(places, dtype=np.int64)
+
+
 class Model:
-    """The table of all languages: ``table[state + symbol]`` is twice the next state, plus one if a piece ends."""
+    """The automata of all languages, and where each symbol starts a piece in each of them."""
 
     def __init__(self, texts: Sample):
         self.names = [k for k, _ in texts]
-        used = Counter(c for _, t in texts for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in used.most_common(SYMBOLS - 3)]
-        self.codes = _letters().astype(np.uint8)
-        self.codes[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
-        tables, self.roots, at = [], [], 0
+        letters = sorted({c for _, t in texts for c in t.lower() if c.isalpha()})
+        self.width = LETTERS + len(letters)
+        self.codes = _letters().astype(np.int32)
+        self.codes[[ord(c) for c in letters]] = np.arange(LETTERS, self.width)
+        rows, roots = [], []
         for _, t in texts:
+            roots.append(len(rows))
             step = suffix_automaton(self.encode(t).tolist())
-            strange = len(step)  # after a symbol that the sample lacks, a piece of its own
-            step.append({})
-            table = np.full((len(step), SYMBOLS), -1, dtype=np.int64)
-            for s, to in enumerate(step):
-                table[s, list(to)] = list(to.values())
-            restart = np.where(table[0] < 0, strange, table[0])
-            ends = table < 0
-            ends[0] = False  # no piece is open at the start
-            table = 2 * SYMBOLS * (np.where(table < 0, restart, table) + at) + ends
-            table[:, SYMBOLS - 1] = 2 * SYMBOLS * at
-            tables.append(table.astype(np.int32))
-            self.roots.append(SYMBOLS * at)
-            at += len(step)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int32)
+            rows += [{c: to + roots[-1] for c, to in row.items()} for row in step]
+            rows.append({})  # after a symbol that the sample lacks, a piece of its own
+        self.table, places = lay_out(rows, self.width)
+        self.starts = np.zeros((len(roots), self.width), dtype=np.int64)
+        for k, r in enumerate(roots):
+            self.starts[k] = places[(roots[k + 1] if k + 1 < len(roots) else len(rows)) - 1]
+            self.starts[k, list(rows[r])] = places[list(rows[r].values())]
         self.weight = np.array([math.log2(max(2, len(t))) for _, t in texts])
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of a text; a run of anything but letters is one symbol."""
         c = self.codes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype="<u4")]
-        keep = c != 0
-        keep[1:] |= c[:-1] != 0
+        keep = c != OTHER
+        keep[1:] |= c[:-1] != OTHER
         return c[keep]
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each text in each language, and its letters."""
         codes = [self.encode(t) for t in texts]
-        letters = np.array([int((c > 0).sum()) for c in codes], dtype=np.int64)
+        letters = np.array([int((c != OTHER).sum()) for c in codes], dtype=np.int64)
         rows = np.array([-(-len(c) // STRETCH) for c in codes], dtype=np.int64)
-        lanes = np.full((int(rows.sum()), STRETCH), SYMBOLS - 1, dtype=np.uint8)
+        lanes = np.full((int(rows.sum()), STRETCH), PADDING, dtype=np.int32)
         flat, at = lanes.reshape(-1), 0
         for c, r in zip(codes, rows.tolist(), strict=True):
             flat[at : at + len(c)] = c
@@ -134,15 +161,15 @@ class Model:
         k, n = len(self.names), len(lanes)
         found = np.zeros((len(texts), k), dtype=np.int64)
         if n and k:
-            by_step = np.tile(np.ascontiguousarray(lanes.T), (1, k))
-            state = np.repeat(np.array(self.roots, dtype=np.int32), n)
-            count = np.zeros(k * n, dtype=np.int32)
-            for t in range(STRETCH):
-                v = self.table.take(state + by_step[t])
-                count += v & 1
-                state = v >> 1
-            whole = (lanes != SYMBOLS - 1).any(axis=1)  # the piece still open at the end of a stretch
-            count = count.reshape(k, n) + whole
+            by_step = np.ascontiguousarray(lanes.T)
+            count = np.ones((k, n), dtype=np.int64)  # the piece still open at the end of a stretch
+            state = self.starts[:, by_step[0]]
+            for t in range(1, STRETCH):
+                symbol = by_step[t]
+                entry = self.table.take(state + symbol)
+                ends = entry >> 32 != state
+                state = np.where(ends, self.starts.take(symbol, axis=1), entry & 0xFFFFFFFF)
+                count += ends & (symbol != PADDING)
             np.add.at(found, np.repeat(np.arange(len(texts)), rows), count.T)
         return found, letters
 

@@ -47,6 +47,36 @@ def test_pieces_equal_greedy_parsing():
     assert m.pieces([text])[0][0].tolist() == want
 
 
+def test_languages_of_many_scripts(spark):
+    """Three alphabets of two languages each, and two languages that share 900 Han signs."""
+    rng = random.Random(12)
+    scripts = {"latin": [chr(97 + i) for i in range(26)], "greek": [chr(0x3B1 + i) for i in range(25) if i != 17], "cyrillic": [chr(0x430 + i) for i in range(32)], "han": [chr(0x4E00 + 7 * i) for i in range(900)]}
+    words = {}
+    for name, signs in scripts.items():
+        most = 2 if name == "han" else 7
+        for k in (1, 2):
+            words[f"{name}{k}"] = ["".join(rng.choice(signs) for _ in range(rng.randint(1, most))) for _ in range(300)]
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    learned = spark.createDataFrame([(text(k, 80), k) for k in words for _ in range(60)], "text string, lang string")
+    texts = language.sample(learned)
+    asked = spark.createDataFrame([(text(k, 25), k) for k in words for _ in range(20)], "text string, lang string")
+    got = language.identify(asked, texts).groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right")).collect()
+    assert len(got) == 8 and all(r["right"] == 1 for r in got), got
+    m = language.model(texts)
+    assert len(set(m.encode("".join(scripts["han"])).tolist())) >= 500
+
+
+def test_transitions_share_one_array():
+    rng = random.Random(5)
+    rows = [{c: rng.randrange(60) for c in rng.sample(range(40), rng.randint(0, 6))} for _ in range(60)]
+    table, places = language.lay_out(rows, 40)
+    assert len(set(places.tolist())) == 60
+    for p, row in zip(places.tolist(), rows):
+        for c in range(40):
+            e = int(table[p + c])
+            assert (e & 0xFFFFFFFF == places[row[c]]) if e >> 32 == p else c not in row
+
+
 def test_language_of_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = language.sample(docs.where(~language.held_out(F.col("doc_id"))))
