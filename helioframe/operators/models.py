@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
@@ -491,15 +492,57 @@ def cluster_once(df: DataFrame, k: int, target: float = 0.90) -> DataFrame:
     return H.medoid_assign(labels, meds).select("vec_id", "shape", F.col("assigned").alias("label"))
 
 
-def prune_and_retrain(df: DataFrame, k: int, branch: int, rounds: int = 5, validity: Callable | None = None) -> DataFrame:
+def kmeans_per_k(df: DataFrame, branch: int, ks: Sequence[int] = tuple(range(2, 9)), target: float = 0.90, restarts: int = 10) -> tuple[DataFrame, DataFrame]:
+    """KMeans for every ``k`` on the reduced shapes, the best of some starts.
+
+    Returns ``vec_id``, ``k``, ``label`` and the reduced ``shape`` (settled), and the
+    smallest gap between the pseudo fill factors of each ``k``'s centres, led back to shapes.
+    """
+    spark = df.sparkSession
+    dims = len(df.select("shape").first()[0])
+    full, model = pca_fit_project(df, dims)
+    n = components_for_variance(model.explainedVariance.toArray(), target)
+    v = settle(full.select("vec_id", F.slice("scores", 1, n).alias("shape")))
+    data = v.withColumn("pc", array_to_vector("shape"))
+    mean = np.array(H.centres(df, []).first()["centre"])  # one shape
+    back = model.pc.toArray()[:, :n].T
+
+    def job(k: int, seed: int):
+        fit = KMeans(k=k, seed=seed, featuresCol="pc", predictionCol="label").fit(data)
+        return fit.summary.trainingCost, seed, fit
+
+    jobs = [lambda k=k, s=s: (k, job(k, SEED + s)) for k in ks for s in range(restarts)]
+    best: dict[int, tuple] = {}
+    for k, got in in_parallel(spark, jobs):
+        best[k] = min(best.get(k, got), got, key=lambda g: g[:2])
+    out, gaps = None, []
+    for k, (_, _, fit) in best.items():
+        part = fit.transform(data).select("vec_id", F.lit(k).alias("k"), "label", "shape")
+        out = part if out is None else out.unionByName(part)
+        centre = mean + np.array(fit.clusterCenters()) @ back
+        axis = np.linspace(0.0, 1.0, branch)
+        ff = np.sort(((axis * centre[:, :branch]).max(axis=1) + (axis * centre[:, branch : 2 * branch]).max(axis=1)) / 2.0)
+        gaps.append((k, float(np.diff(ff).min()) if len(ff) > 1 else None))
+    return settle(out), spark.createDataFrame(gaps, "k int, min_delta_pff double")
+
+
+def best_k(df: DataFrame, branch: int) -> int:
+    """Count of clusters that the quality of the fits for k = 2..8 asks for."""
+    labels, gaps = kmeans_per_k(df, branch)
+    return H.choose_k(H.elbow_distance(H.cluster_quality(labels)).join(gaps, "k")).first()["k"]  # one number
+
+
+def prune_and_retrain(df: DataFrame, k: int | None, branch: int, rounds: int = 5, validity: Callable | None = None) -> DataFrame:
     """Drop clusters with implausible representatives and refit, a few rounds at most.
 
-    Shapes pruned in any round end with label -1.  Each round is settled.
+    Shapes pruned in any round end with label -1.  Each round is settled, and chooses
+    its own count of clusters if ``k`` is None.
     """
     check = validity or (lambda m: H.medoid_validity(m, branch))
     active = settle(df.select("vec_id", "shape"))
-    labelled = None
+    labelled, fixed = None, k
     for _ in range(rounds):
+        k = fixed or best_k(active, branch)
         labelled = settle(cluster_once(active, k))
         bad = settle(check(H.medoids(labelled, "vec_id")).where(~F.col("is_valid")).select("label"))
         if bad.isEmpty():

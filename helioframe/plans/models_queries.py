@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from helioframe.config import DAMAGE_FEATURES, TRAJECTORY_PARAMETERS, TWIN_FEATURES
 from helioframe.functions import expr as X
 from helioframe.functions.stages import settle
-from helioframe.operators import features, forecast as P, models as M, screening as S, shapes as H, trajectory as T
-from helioframe.plans import daily_queries as D, forecast_queries as FQ, screening_queries as Q, trajectory_queries as TQ
+from helioframe.operators import curves, features, forecast as P, models as M, screening as S, shapes as H, trajectory as T
+from helioframe.plans import daily_queries as D, forecast_queries as FQ, screening_queries as Q, sweeps_queries as SQ, trajectory_queries as TQ
 from helioframe.plans.lifetime_queries import lifetimes
 from helioframe.plans.registry import query, view
 from helioframe.plans.stages import staged
 from helioframe.sources import fixtures
 
+BRANCH = 50  # points per branch of a sweep's shape
+
 
 @staged
 def twin_features(spark, sf):
@@ -311,11 +313,29 @@ def _(spark, sf):
     return M.cluster_once(fixtures.shapes(spark, sf), 4)
 
 
-@query("m09_prune_and_retrain", "vec_id:i label:i")
+@staged
+def sweep_shapes(spark, sf):
+    """Whole shapes of the valid sweeps of the telemetry, keyed by ``vec_id`` (device and sweep)."""
+    p = SQ.settled_points(spark, sf)
+    ok = curves.curve_audit(p).where("is_curve_valid = 1").select(*curves.KEY)
+    s = curves.shape_vectors(p.join(ok, curves.KEY, "left_semi"), BRANCH)
+    s = s.where((F.size("shape") == 2 * BRANCH) & F.forall("shape", lambda x: x.isNotNull() & ~F.isnan(x)))
+    return s.select(F.struct(*curves.KEY).alias("vec_id"), "shape")
+
+
+# The queries m03-m05 and w33 check the metrics on given labels against SQL; these fit the clusters.
+@query("m03_kmeans_quality", "k:i inertia:f davies_bouldin:f calinski_harabasz:f silhouette:f min_delta_pff:f elbow:f")
 def _(spark, sf):
-    # The stand-in shapes are not current curves: validity asks for an above-median pseudo fill factor.
-    def check(meds):
-        m = H.renumber_by_ff(meds, 32)
-        return m.withColumn("is_valid", F.col("pseudo_FF") > 0.05)
+    labels, gaps = M.kmeans_per_k(sweep_shapes(spark, sf), BRANCH)
+    return H.elbow_distance(H.cluster_quality(labels)).join(gaps, "k")
+
 
-    return M.prune_and_retrain(fixtures.shapes(spark, sf), 4, 32, validity=check)
+@query("m05_kmeans_choose_k", "k_elbow:i k_silhouette:i k_davies_bouldin:i consensus:b k:i")
+def _(spark, sf):
+    labels, gaps = M.kmeans_per_k(sweep_shapes(spark, sf), BRANCH)
+    return H.choose_k(H.elbow_distance(H.cluster_quality(labels)).join(gaps, "k"))
+
+
+@query("m09_prune_and_retrain", "cell_name curve:i label:i")
+def _(spark, sf):
+    return M.prune_and_retrain(sweep_shapes(spark, sf), None, BRANCH).select("vec_id.*", "label")
