@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import chat, extraction, language, latent, near, packing, quality, sharding, substring, token_files
-from helioframe.llm.common import table
+from helioframe.llm import chat, extraction, language, latent, near, packing, periodic, quality, sharding, substring, token_files
+from helioframe.llm.common import table, word_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,3 +124,42 @@ def op4_benchmark_decontamination(spark, sf_dir):
 def op7_near_duplicates(spark, sf_dir):
     found = near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id")
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.find_runs(with_periods(docs)))
+
+
+def with_periods(docs):
+    """A tenth of the texts, chosen by the checksum of ``doc_id``, with a periodic rest."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.withColumns({"g": F.floor(h / 10), "w": F.when(h % 10 == 0, word_list(F.col("text")))})
+    n = F.size("w").cast("long")
+    a = F.col("g") % n
+    p = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
+    at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+    words = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("w", at(i)))
+    return chosen.select("doc_id", F.when(F.col("w").isNotNull() & (n > 0), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+SQL["op11_periodic_runs"] = rf"""
+WITH {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS k, doc_id, ({crc_sql("CAST(doc_id AS VARCHAR)")}) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents, crc),
+e AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+t AS (SELECT k, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1 AS INTEGER)]) ELSE ws END AS ws FROM f),
+w AS (SELECT k, n, unnest(range(n)) AS i, unnest(ws) AS x FROM t),
+same AS (SELECT l.k, l.i, r.i - l.i AS q FROM w l JOIN w r ON l.k = r.k AND l.x = r.x AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+isle AS (SELECT k, q, i, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS z FROM same),
+long AS (SELECT k, q, min(i) AS s, count(*) + q AS l FROM isle GROUP BY k, q, z HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT * FROM long b WHERE NOT EXISTS (SELECT 1 FROM long c WHERE c.k = b.k AND c.q < b.q AND c.s <= b.s AND c.s + c.l >= b.s + b.l)),
+gone AS (SELECT k, list(DISTINCT i) AS gs FROM (SELECT k, unnest(range(s + q, s + l)) AS i FROM run) GROUP BY k),
+best AS (SELECT k, count(*) AS n_runs, first(s ORDER BY l DESC, s, q) AS s, first(l ORDER BY l DESC, s, q) AS l, first(q ORDER BY l DESC, s, q) AS q,
+  string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY k)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+  CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gs IS NULL THEN ws ELSE list_filter(ws, lambda x, j: NOT list_contains(gs, j - 1)) END, ' ')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (k) LEFT JOIN gone USING (k)
+"""
