@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import chat, extraction, language, latent, near, packing, periodic, quality, sharding, substring, token_files
+from helioframe.llm import chat, collocations, extraction, language, latent, near, packing, periodic, quality, sharding, substring, token_files
 from helioframe.llm.common import table, word_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,27 @@ SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT)
   sha256(array_to_string(CASE WHEN gs IS NULL THEN ws ELSE list_filter(ws, lambda x, j: NOT list_contains(gs, j - 1)) END, ' ')) AS collapsed_sha256
 FROM t LEFT JOIN best USING (k) LEFT JOIN gone USING (k)
 """
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+SQL["op13_collocations"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase FROM w, unnest(range(1, 6)) AS u(k), unnest(range(1, len(ws) - k + 2)) AS v(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.k, c.phrase, c.a, j, x.a AS l, y.a AS r FROM c, unnest(range(1, c.k)) AS u(j)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.ws, 1, j), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.ws, j + 1, c.k), ' ')),
+s AS (SELECT lang, k, phrase, a, j, l, r, CAST(n AS BIGINT) AS n, CAST((1000::HUGEINT * a * n) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cut JOIN total USING (lang)),
+low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS z FROM s),
+one AS (SELECT * FROM low b WHERE z = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.k > b.k AND 100 * c.a >= 100 * b.a
+  AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM one) WHERE rank <= 2000
+"""
