@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import chat, collocations, extraction, language, latent, near, packing, periodic, quality, sharding, substring, token_files
+from helioframe.llm import chat, collocations, extraction, language, latent, near, packing, periodic, quality, sharding, substring, token_files, toxicity
 from helioframe.llm.common import table, word_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,12 @@ one AS (SELECT * FROM low b WHERE z = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.
 SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM one) WHERE rank <= 2000
 """
+
+
+@query
+def op12_toxicity(spark, sf_dir):
+    held = lambda c: F.crc32(c.cast("string")) % 3 == 1
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(toxicity.labelled(docs, labels.where(~held(F.col("doc_id")))))
+    scored = model.score(docs.select("doc_id", F.coalesce(held(F.col("doc_id")), F.lit(False)).alias("held_out"), "text"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
