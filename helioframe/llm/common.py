@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from helioframe.functions.stages import settle
 
-__all__ = ["settle", "ship", "table", "word_list", "partitions", "DOCUMENT_COLUMNS"]
+__all__ = ["settle", "drop_stored", "ship", "table", "word_list", "partitions", "DOCUMENT_COLUMNS"]
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,6 +37,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables of ``settle`` that nothing reads any more."""
+    for t in tables:
+        for folder in {os.path.dirname(f) for f in t.inputFiles()}:
+            if not re.fullmatch(r"stage-[0-9a-f]{32}", os.path.basename(folder)):
+                raise ValueError(f"not a stored table: {folder}")
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
