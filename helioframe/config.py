@@ -117,6 +117,10 @@ TWIN_PCE_PARAMS = {"maxIter": 150, "stepSize": 0.05, "maxDepth": 5, "subsampling
 TWIN_PFF_PARAMS = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 3, "subsamplingRate": 0.8}
 DAMAGE_PARAMS = {"maxIter": 200, "stepSize": 0.03, "maxDepth": 3, "subsamplingRate": 0.75}
 
+# Penalties and share of columns of those models.
+TWIN_PENALTIES = {"l2": 1.0}
+DAMAGE_PENALTIES = {"l2": 10.0, "l1": 0.5, "columns": 0.8}
+
 # Forest settings of the trajectory models.
 FOREST_PARAMS = {"numTrees": 200, "maxDepth": 4, "minInstancesPerNode": 5}
 

@@ -12,7 +12,6 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,12 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from helioframe.config import (
-    DAMAGE_FEATURES, DAMAGE_PARAMS, FOREST_PARAMS, PHYSICAL_FEATURES, SEED, SETTINGS, TRAJECTORY_PARAMETERS, TWIN_FEATURES,
-    TWIN_PCE_PARAMS, TWIN_PFF_PARAMS,
+    DAMAGE_FEATURES, DAMAGE_PARAMS, DAMAGE_PENALTIES, FOREST_PARAMS, SEED, SETTINGS, TRAJECTORY_PARAMETERS, TWIN_FEATURES,
+    TWIN_PCE_PARAMS, TWIN_PENALTIES, TWIN_PFF_PARAMS,
 )
-from helioframe.functions.ordered import exact_quantiles, ordered_scan
+from helioframe.functions.ordered import exact_quantiles, ordered_scan, time_chunk
 from helioframe.functions.stages import settle
-from helioframe.operators import screening as S, shapes as H
+from helioframe.operators import boosting as B, screening as S, shapes as H
 
 PARALLEL = 4
 
@@ -105,31 +104,77 @@ def threshold(folded: DataFrame, metric: str, rounds: int | None = None) -> floa
     return float(S.residual_threshold(res, "r").first()["layered"])  # one number
 
 
-GATE_COLUMNS = "cell_name string, n long, alert_pct double"
+INNER = 5  # contiguous blocks whose residuals give a fold's thresholds
 
 
-def loocv_gate(rows: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Leave-one-device-out check of the healthy cohort: alert share and verdict per holdout."""
-    data = settle(rows)
-    spark = rows.sparkSession
-    cohort = [r[0] for r in data.where("is_healthy").select("cell_name").distinct().orderBy("cell_name").collect()]  # device names
-
-    def job(holdout: str) -> DataFrame:
-        train = data.where("is_healthy AND is_mature").where(F.col("cell_name") != holdout)
-        if train.isEmpty():  # nothing to learn from: no verdict
-            return spark.createDataFrame([(holdout, 0, None)], GATE_COLUMNS)
-        early = assemble(data.where("in_action_window").where(F.col("cell_name") == holdout), TWIN_FEATURES)
-        folded = settle(S.contiguous_folds(train))
-        hit = F.lit(False)
-        for m in TWIN:
-            model = booster(f"{m}_Relative", TWIN[m], rounds, f"p_{m}").fit(assemble(folded, TWIN_FEATURES))
-            early = model.transform(early)
-            hit = hit | (F.col(f"p_{m}") - F.col(f"{m}_Relative") > threshold(folded, m, rounds))
-        return early.agg(F.lit(holdout).alias("cell_name"), F.count("*").alias("n"), (100.0 * F.avg(hit.cast("double"))).alias("alert_pct"))
-
-    out = spark.createDataFrame([], GATE_COLUMNS)
-    for p in in_parallel(spark, [lambda c=c: job(c) for c in cohort]):
-        out = out.unionByName(p)
+def _none() -> Column:
+    return F.array().cast("array<int>")
+
+
+def device_groups(rows: DataFrame, groups: int = B.GROUPS) -> DataFrame:
+    """Devices of ``rows`` in at most ``groups`` runs of device order: ``cell_name`` and ``grp`` from 0.
+
+    Up to ``groups`` devices each is a group, so leaving a group out leaves a device out;
+    with more, a group holds several, so that models do not grow with the fleet.
+    """
+    cells = rows.select("cell_name").where(F.col("cell_name").isNotNull()).distinct()
+    return cells.withColumn("grp", F.ntile(groups).over(W.orderBy("cell_name")) - 1)  # one row a device
+
+
+def twin_models(sets: int, first: int = 0) -> list[B.Model]:
+    """The boosters of relative PCE and pFF for each of ``sets`` training sets."""
+    boosts = [B.settings(TWIN[m], **TWIN_PENALTIES) for m in TWIN]
+    return [B.Model(first + s, i, tuple(range(len(TWIN_FEATURES))), b) for s in range(sets) for i, b in enumerate(boosts)]
+
+
+def twin_predictions(rows: DataFrame, keys: Sequence[str], sets: int) -> DataFrame:
+    """Predictions of the twin's boosters as one row a row and set: ``set``, ``p_PCE``, ``p_pFF``."""
+    got, _ = B.fit_many(rows, keys, TWIN_FEATURES, [f"{m}_Relative" for m in TWIN], twin_models(sets))
+    place = F.col("model") % len(TWIN)
+    picks = [F.max(F.when(place == i, F.col("prediction"))).alias(f"p_{m}") for i, m in enumerate(TWIN)]
+    return got.groupBy(*keys, F.floor(F.col("model") / len(TWIN)).cast("int").alias("set")).agg(*picks)
+
+
+def loocv_gate(rows: DataFrame) -> DataFrame:
+    """Leave-one-device-out check of the healthy cohort: alert share and verdict per holdout.
+
+    For each holdout the twin is fitted to the others' mature rows, and its thresholds
+    come from residuals of contiguous blocks of those rows, each predicted from the
+    other blocks.  All these fits run at once.  A holdout without training rows (the only
+    device) or without early rows has no data.  An empty cohort gives an empty table.
+    """
+    data = settle(rows.where("is_healthy"))
+    train = data.where("is_mature")
+    groups = settle(device_groups(data))
+    sizes = data.join(groups, "cell_name").groupBy("grp").agg(F.count(F.when(F.col("is_mature"), 1)).alias("n"))
+    spans, at = [], 0
+    for r in sizes.orderBy("grp").collect():  # GROUPS rows at most
+        spans.append((at, r["n"]))
+        at += r["n"]
+    holdouts, total, per = len(spans), at, 1 + INNER
+    idx = S.row_index(train).select("cell_name", "curve", F.col("idx").alias("row"))
+    d = data.join(groups, "cell_name").join(idx, ["cell_name", "curve"], "left")
+    trains, asked = [], []
+    for h, (start, n) in enumerate(spans):
+        row = F.when(F.col("row") < start, F.col("row")).otherwise(F.col("row") - n)
+        block = S.contiguous_block(row, F.lit(total - n), INNER).cast("int")
+        mine = (F.col("grp") != h) & F.col("is_mature")
+        sets = F.array(F.lit(h * per), *[F.when(block != j, F.lit(h * per + 1 + j)) for j in range(INNER)])
+        trains.append(F.when(mine, F.array_compact(sets)).otherwise(_none()))
+        asked.append(F.when(mine, F.array(block + (h * per + 1))).when((F.col("grp") == h) & F.col("in_action_window"), F.array(F.lit(h * per))).otherwise(_none()))
+    d = d.withColumns({"trains": F.flatten(F.array(*trains)) if trains else _none(), "asked": F.flatten(F.array(*asked)) if asked else _none()})
+    p = settle(twin_predictions(d, ["cell_name", "curve"], holdouts * per).join(groups, "cell_name"))
+    truth = data.select("cell_name", "curve", *[f"{m}_Relative" for m in TWIN])
+    inner = p.where(F.col("set") % per > 0).join(truth, ["cell_name", "curve"])
+    res = inner.select(F.floor(F.col("set") / per).cast("int").alias("holdout"), *[F.abs(F.col(f"p_{m}") - F.col(f"{m}_Relative")).alias(m) for m in TWIN])
+    thr = S.residual_threshold(res.unpivot(["holdout"], list(TWIN), "metric", "r"), "r", ["holdout", "metric"])
+    thr = thr.groupBy(F.col("holdout").alias("grp")).agg(*[F.max(F.when(F.col("metric") == m, F.col("layered"))).alias(f"thr_{m}") for m in TWIN])
+    early = p.where((F.col("set") % per == 0) & F.col("p_PCE").isNotNull()).join(truth, ["cell_name", "curve"]).join(thr, "grp")
+    hit = F.lit(False)
+    for m in TWIN:
+        hit = hit | (F.col(f"p_{m}") - F.col(f"{m}_Relative") > F.col(f"thr_{m}"))
+    found = early.groupBy("cell_name").agg(F.count("*").alias("n"), (100.0 * F.avg(hit.cast("double"))).alias("alert_pct"))
+    out = groups.select("cell_name").join(found, "cell_name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("verdict", gate_verdict())
 
 
@@ -163,6 +208,52 @@ def burn_in_grid(rows: DataFrame, windows: Sequence[float] = SETTINGS.burn_in_gr
     )
 
 
+def burn_in_grid_fitted(rows: DataFrame, windows: Sequence[float] = SETTINGS.burn_in_grid) -> DataFrame:
+    """The grid with the boosted twin: thresholds and leave-one-device-out errors of every burn-in window.
+
+    The cohort of a window are the devices that outlive it; it trains on their rows after
+    the window, and a holdout is judged by its rows within the window.  Thresholds come
+    from contiguous blocks of the cohort's training rows.  ``mae`` is the mean over
+    devices, ``se`` its error over devices.  All fits of all windows run at once.  A window
+    with fewer than two devices has no folds and no thresholds.
+    """
+    data = settle(rows)
+    groups = settle(device_groups(data))
+    count = (groups.agg(F.max("grp").alias("m")).first()["m"] or 0) + 1
+    per = count + INNER
+    inside = [F.col("combined_survival_days") > w for w in windows]
+    learns = [c & (F.col("Exposure_Days") > w) for c, w in zip(inside, windows, strict=True)]
+    cohorts = data.agg(*[F.count_distinct(F.when(c, F.col("cell_name"))).alias(f"c{i}") for i, c in enumerate(inside)], *[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(learns)]).first()
+    per_cell = data.groupBy("cell_name").agg(*[F.count(F.when(c, 1)).alias(f"m{i}") for i, c in enumerate(learns)])
+    earlier = W.orderBy("cell_name").rowsBetween(W.unboundedPreceding, -1)  # one row a device
+    offsets = per_cell.select("cell_name", *[F.coalesce(F.sum(f"m{i}").over(earlier), F.lit(0)).alias(f"o{i}") for i in range(len(windows))])
+    d = ordered_scan(data, ["cell_name"], ["Timestamp", "curve"], time_chunk("Timestamp", 21600), sums={f"r{i}": c.cast("int") for i, c in enumerate(learns)})
+    d = d.join(offsets, "cell_name").join(groups, "cell_name")
+    trains, asked = [], []
+    for i, (c, learn) in enumerate(zip(inside, learns, strict=True)):
+        if cohorts[f"c{i}"] < 2:
+            continue
+        first = i * per
+        block = S.contiguous_block(F.col(f"r{i}") + F.col(f"o{i}") - 1, F.lit(cohorts[f"n{i}"]), INNER).cast("int")
+        sets = [F.when(F.col("grp") != j, F.lit(first + j)) for j in range(count)] + [F.when(block != j, F.lit(first + count + j)) for j in range(INNER)]
+        trains.append(F.when(learn, F.array_compact(F.array(*sets))).otherwise(_none()))
+        asked.append(F.when(learn, F.array(block + (first + count))).when(c, F.array(F.col("grp") + first)).otherwise(_none()))
+    d = d.withColumns({"trains": F.flatten(F.array(*trains)) if trains else _none(), "asked": F.flatten(F.array(*asked)) if asked else _none()})
+    p = twin_predictions(d, ["cell_name", "curve"], len(windows) * per)
+    truth = data.select("cell_name", "curve", *[f"{m}_Relative" for m in TWIN])
+    p = p.join(truth, ["cell_name", "curve"]).withColumns({"w": F.floor(F.col("set") / per).cast("int"), "inner": F.col("set") % per >= count})
+    long = p.select("w", "inner", "cell_name", *[F.abs(F.col(f"p_{m}") - F.col(f"{m}_Relative")).alias(m) for m in TWIN])
+    long = settle(long.unpivot(["w", "inner", "cell_name"], list(TWIN), "metric", "r").where(F.col("r").isNotNull()))
+    thr = S.residual_threshold(long.where("inner"), "r", ["w", "metric"]).select("w", "metric", F.col("layered").alias("thr"))
+    err = long.where("not inner").groupBy("w", "metric", "cell_name").agg(F.avg("r").alias("mae")).groupBy("w", "metric")
+    se = F.try_divide(F.stddev_samp("mae"), F.sqrt(F.count("*")))
+    err = err.agg(F.count("*").alias("n_folds"), F.avg("mae").alias("mae"), se.alias("se")).join(thr, ["w", "metric"], "full")
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}")
+    wide = err.groupBy("w").agg(*[of(m, c) for m in TWIN for c in ("n_folds", "thr", "mae", "se")])
+    every = data.sparkSession.createDataFrame([(i, float(w), cohorts[f"c{i}"]) for i, w in enumerate(windows)], "w int, window double, n_devices long")
+    return every.join(F.broadcast(wide), "w", "left").drop("w")  # one row a window
+
+
 # -- daily models ------------------------------------------------------------------
 
 
@@ -368,34 +459,36 @@ def split_gain_importance(model, spark, features: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())], "feature string, importance double")
 
 
-def loo_error(data: DataFrame, features: Sequence[str], label: str, rounds: int | None = None) -> DataFrame:
-    """Leave-one-device-out error of the booster per holdout; ``data`` is settled."""
-    cells = [r[0] for r in data.select("cell_name").distinct().orderBy("cell_name").collect()]  # device names
-    d = assemble(data, features)
-
-    def job(c: str) -> DataFrame:
-        model = booster(label, DAMAGE_PARAMS, rounds).fit(d.where(F.col("cell_name") != c))
-        return model.transform(d.where(F.col("cell_name") == c)).groupBy("cell_name").agg(mae(F.col("prediction"), F.col(label)).alias("mae"))
-
-    out = data.sparkSession.createDataFrame([], "cell_name string, mae double")
-    if len(cells) > 1:  # one device alone leaves nothing to learn from
-        for p in in_parallel(data.sparkSession, [lambda c=c: job(c) for c in cells]):
-            out = out.unionByName(p)
-    return settle(out)
+def damage_boost(rounds: int | None = None) -> B.Boost:
+    return B.settings({**DAMAGE_PARAMS, **({"maxIter": rounds} if rounds else {})}, **DAMAGE_PENALTIES)
 
 
 def feature_ablation(matrix: DataFrame, label: str = "Daily_Damage_Increment", features: Sequence[str] = tuple(DAMAGE_FEATURES), rounds: int | None = None) -> DataFrame:
-    """Paired change of the error and verdict when each feature is left out."""
+    """Paired change of the leave-one-device-out error, and verdict, when each feature is left out.
+
+    All devices and all feature sets are fitted at once.  One device alone leaves nothing
+    to learn from: an empty table.
+    """
     from helioframe.operators.forecast import paired_delta
 
     data = settle(matrix)
-    base = loo_error(data, features, label, rounds)
-    out = None
-    for f in features:
-        rest = [x for x in features if x != f]
-        part = paired_delta(base, loo_error(data, rest, label, rounds)).withColumn("feature", F.lit(f))
+    groups = settle(device_groups(data))
+    count = (groups.agg(F.max("grp").alias("m")).first()["m"] or 0) + 1
+    every = range(len(features))
+    kept = [tuple(every), *[tuple(i for i in every if i != j) for j in every]]
+    models = [B.Model(g, 0, f, damage_boost(rounds)) for g in range(count) for f in kept]
+    d = data.join(groups, "cell_name")
+    others = F.filter(F.sequence(F.lit(0), F.lit(count - 1)), lambda g: g != F.col("grp"))
+    d = d.withColumns({"trains": others, "asked": F.array("grp")})
+    keys = ["cell_name", "Date_Day"]
+    got, _ = B.fit_many(d, keys, features, [label], models)
+    err = got.where("prediction IS NOT NULL").join(data.select(*keys, F.col(label).alias("y")), keys)
+    err = settle(err.groupBy("cell_name", (F.col("model") % len(kept)).alias("left_out")).agg(mae(F.col("prediction"), F.col("y")).alias("mae")))
+    base, out = err.where("left_out = 0").select("cell_name", "mae"), None
+    for i, f in enumerate(features):
+        part = paired_delta(base, err.where(F.col("left_out") == i + 1).select("cell_name", "mae")).withColumn("feature", F.lit(f))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.where("n_folds > 0")
 
 
 def null_model_error(matrix: DataFrame, label: str) -> DataFrame:
@@ -408,55 +501,27 @@ def null_model_error(matrix: DataFrame, label: str) -> DataFrame:
 
 
 def window_signal_sweep(curves: DataFrame, windows: Sequence[int], rounds: int | None = None, k: int = 5) -> DataFrame:
-    """Gain of the booster over the mean for several smoothing windows."""
-    from helioframe.operators.features import daily_rul_matrix
+    """Gain of the booster over the mean for several smoothing windows, all fitted at once.
 
-    spark = curves.sparkSession
-    y = F.col("Daily_Damage_Increment")
-
-    def job(w: int) -> DataFrame:
-        d = settle(assemble(cv_folds(daily_rul_matrix(curves, w), k), DAMAGE_FEATURES))
-        parts = None
-        for i in range(k):
-            train, test = d.where(F.col("shuffled") != i), d.where(F.col("shuffled") == i)
-            mean = train.agg(F.avg(y).alias("mean"))
-            p = booster("Daily_Damage_Increment", DAMAGE_PARAMS, rounds).fit(train).transform(test).crossJoin(F.broadcast(mean))  # one row
-            p = p.select(y.alias("y"), "prediction", "mean")
-            parts = p if parts is None else parts.unionByName(p)
-        m = parts.agg(mae(F.col("prediction"), F.col("y")).alias("mae_model"), mae(F.col("mean"), F.col("y")).alias("mae_mean"))
-        return settle(m.withColumn("window", F.lit(w)))
-
-    rows = in_parallel(spark, [lambda w=w: job(w) for w in windows])
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("gain_pct", 100.0 * (F.col("mae_mean") - F.col("mae_model")) / F.nullif(F.col("mae_mean"), F.lit(0.0)))
-
-
-def surrogate_rules(rows: DataFrame, flag: str, features: Sequence[str] = tuple(PHYSICAL_FEATURES), min_rows: int = 5) -> DataFrame:
-    """A shallow weighted tree per device that explains a flag by physical features.
-
-    One row per (device, feature) above the importance limit; devices with one
-    class, too few rows or a single leaf are reported with a reason instead.
+    The daily matrix of each window is cut into ``k`` shuffled folds; a fold is predicted
+    from the others.  A window without rows is not reported.
     """
-    data = settle(rows.select("cell_name", F.col(flag).cast("double").alias("label"), *features).dropna())
-    spark = rows.sparkSession
-    counts = data.groupBy("cell_name").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).orderBy("cell_name").collect()  # devices
-
-    def job(c):
-        n, pos = c["n"], c["pos"]
-        if n < 2 * min_rows or min(pos, n - pos) < min_rows:
-            return [(c["cell_name"], n, int(pos), "single class" if pos in (0, n) else "too few rows", None, None)]
-        w = F.when(F.col("label") == 1.0, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
-        d = assemble(data.where(F.col("cell_name") == c["cell_name"]).withColumn("w", w), features)
-        tree = DecisionTreeClassifier(maxDepth=3, minInstancesPerNode=min_rows, weightCol="w", seed=SEED).fit(d)
-        if tree.numNodes == 1:
-            return [(c["cell_name"], n, int(pos), "single node", None, None)]
-        imp = [(f, float(v)) for f, v in zip(features, tree.featureImportances.toArray()) if v > 0.05]
-        return [(c["cell_name"], n, int(pos), "tree", f, v) for f, v in imp]
-
-    found = [r for rs in in_parallel(spark, [lambda c=c: job(c) for c in counts]) for r in rs]
-    return spark.createDataFrame(found, "cell_name string, n long, n_positive long, outcome string, feature string, importance double")
+    from helioframe.operators.features import daily_rul_matrix
+
+    y, keys, d = F.col("Daily_Damage_Increment"), ["window", "cell_name", "Date_Day"], None
+    for i, w in enumerate(windows):
+        part = cv_folds(daily_rul_matrix(curves, w), k).select(F.lit(w).alias("window"), F.lit(i * k).alias("first"), "cell_name", "Date_Day", "shuffled", *DAMAGE_FEATURES, y.alias("y"))
+        d = part if d is None else d.unionByName(part)
+    folds = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: j != F.col("shuffled"))
+    d = settle(d.withColumns({"trains": F.transform(folds, lambda j: (j + F.col("first")).cast("int")), "asked": F.array((F.col("shuffled") + F.col("first")).cast("int"))}))
+    every = tuple(range(len(DAMAGE_FEATURES)))
+    got, _ = B.fit_many(d, keys, DAMAGE_FEATURES, ["y"], [B.Model(s, 0, every, damage_boost(rounds)) for s in range(len(windows) * k)])
+    sums = d.groupBy("window", "shuffled").agg(F.sum("y").alias("s"), F.count("y").alias("c"))  # a few rows a window
+    of = W.partitionBy("window")
+    means = sums.select("window", "shuffled", ((F.sum("s").over(of) - F.col("s")) / F.nullif(F.sum("c").over(of) - F.col("c"), F.lit(0))).alias("mean"))
+    p = got.join(d.select(*keys, "shuffled", "y"), keys).join(means, ["window", "shuffled"])
+    m = p.groupBy("window").agg(mae(F.col("prediction"), F.col("y")).alias("mae_model"), mae(F.col("mean"), F.col("y")).alias("mae_mean"))
+    return m.withColumn("gain_pct", 100.0 * (F.col("mae_mean") - F.col("mae_model")) / F.nullif(F.col("mae_mean"), F.lit(0.0)))
 
 
 # -- shapes --------------------------------------------------------------------------

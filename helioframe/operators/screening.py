@@ -256,17 +256,18 @@ def row_index(rows: DataFrame, order: Sequence[str] = ("Timestamp", "curve")) ->
     return counted.join(offsets, "cell_name").withColumn("idx", F.col("offset") + F.col("pos") - 1).drop("offset", "pos")
 
 
+def contiguous_block(idx: Column, n: Column, k: int) -> Column:
+    """Which of ``k`` unshuffled blocks of ``n`` rows holds row ``idx``; the first ``n % k`` blocks hold one row more."""
+    size, extra = F.floor(n / k), n % k
+    edge = extra * (size + 1)
+    return F.when(idx < edge, F.floor(idx / (size + 1))).otherwise(extra + F.floor((idx - edge) / F.greatest(size, F.lit(1))))
+
+
 def contiguous_folds(rows: DataFrame, k: int = 5) -> DataFrame:
     """Unshuffled blocks in row order; the first ``n % k`` blocks hold one row more."""
     total = rows.agg(F.count("*").alias("n_rows"))
     r = row_index(rows).crossJoin(F.broadcast(total))  # one-row count
-    size = F.floor(F.col("n_rows") / k)
-    extra = F.col("n_rows") % k
-    edge = extra * (size + 1)
-    fold = F.when(F.col("idx") < edge, F.floor(F.col("idx") / (size + 1))).otherwise(
-        extra + F.floor((F.col("idx") - edge) / F.greatest(size, F.lit(1)))
-    )
-    return r.withColumn("fold", fold).drop("n_rows")
+    return r.withColumn("fold", contiguous_block(F.col("idx"), F.col("n_rows"), k)).drop("n_rows")
 
 
 def population_compare(pops: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ fits are rows-only.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from helioframe.config import DAMAGE_FEATURES, TRAJECTORY_PARAMETERS, TWIN_FEATURES
 from helioframe.functions import expr as X
-from helioframe.functions.stages import settle
-from helioframe.operators import curves, features, forecast as P, models as M, screening as S, shapes as H, trajectory as T
+from helioframe.functions.stages import settle, shared_folder
+from helioframe.operators import curves, features, forecast as P, models as M, production as K, screening as S, shapes as H, surrogates as R, trajectory as T
 from helioframe.plans import daily_queries as D, forecast_queries as FQ, screening_queries as Q, sweeps_queries as SQ, trajectory_queries as TQ
 from helioframe.plans.lifetime_queries import lifetimes
 from helioframe.plans.registry import query, view
@@ -37,7 +39,7 @@ def _(spark, sf):
 
 @query("m12_loocv_gate_boosted", "cell_name n:i alert_pct:f verdict")
 def _(spark, sf):
-    return M.loocv_gate(twin_features(spark, sf))
+    return twin_gate(spark, sf)
 
 
 GATE = """
@@ -89,6 +91,14 @@ def _(spark, sf):
     return M.burn_in_grid(Q.twin(spark, sf))
 
 
+@query(
+    "m13_burn_in_grid_boosted",
+    "window:f n_devices:i n_folds_PCE:i n_folds_pFF:i thr_PCE:f thr_pFF:f mae_PCE:f se_PCE:f mae_pFF:f se_pFF:f",
+)
+def _(spark, sf):
+    return M.burn_in_grid_fitted(twin_features(spark, sf))
+
+
 @query(
     "m14_production_contract",
     "schema_version:i burn_in_days:f production thr_PCE:f thr_pFF:f",
@@ -102,6 +112,20 @@ def _(spark, sf):
     return t.select(F.lit(3).alias("schema_version"), F.lit(14.0).alias("burn_in_days"), "production", "thr_PCE", "thr_pFF")
 
 
+@staged
+def twin_gate(spark, sf):
+    return M.loocv_gate(twin_features(spark, sf))
+
+
+@query("m14_production_scores", "cell_name curve:i PCE_Pred:f pFF_Pred:f Under_PCE:f Under_pFF:f Alert_PCE:b Alert_pFF:b Digital_Twin_Alert:b")
+def _(spark, sf):
+    """All screening rows, scored by the production model that was fitted, stored and loaded again."""
+    rows = twin_features(spark, sf)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    K.save(K.fit(rows, twin_gate(spark, sf)), path)
+    return K.score(K.load(spark, path), rows)
+
+
 @query("m15_damage_increment_model", "cell_name Date_Day:d Daily_Damage_Increment:f prediction:f")
 def _(spark, sf):
     d = D.rul_days(spark, sf)
@@ -215,19 +239,33 @@ def _(spark, sf):
     return M.null_model_error(D.rul_days(spark, sf), "Daily_Damage_Increment")
 
 
-@query("m23_surrogate_rules_alerts", "cell_name n:i n_positive:i outcome feature importance:f")
-def _(spark, sf):
+RULES = "cell_name n:i n_positive:i day:f outcome rule support:i share:f importance"
+
+
+def alert_rows(spark, sf):
+    """Early rows with the twin's alert, the physical features and the day of the cumulative alert share."""
     joined = Q.alerted(spark, sf).join(
         twin_features(spark, sf).select("cell_name", "curve", "Delta_Temp_C_per_h", "Delta_Hum_g_m3_per_h"), ["cell_name", "curve"]
     )
-    return M.surrogate_rules(joined.where("in_action_window"), "Digital_Twin_Alert")
+    days = S.threshold_day(S.cumulative_alert_pct(Q.alerted(spark, sf))).select("cell_name", "threshold_pct_day")
+    return joined.where("in_action_window").join(days, "cell_name", "left")
+
+
+def prodromal_rows(spark, sf):
+    """Life of the devices that died within the burn-in, marked where the last days before that begin."""
+    rows = twin_features(spark, sf).where(F.col("combined_survival_days") <= 14.0).where("Exposure_Days <= combined_survival_days")
+    start = F.greatest(F.lit(0.0), F.col("combined_survival_days") - 3.0)
+    return rows.withColumn("prodromal", F.col("Exposure_Days") >= start)
+
+
+@query("m23_surrogate_rules_alerts", RULES)
+def _(spark, sf):
+    return R.rules(alert_rows(spark, sf), "Digital_Twin_Alert", "threshold_pct_day")
 
 
-@query("m23_surrogate_rules_prodromal", "cell_name n:i n_positive:i outcome feature importance:f")
+@query("m23_surrogate_rules_prodromal", RULES)
 def _(spark, sf):
-    rows = twin_features(spark, sf).where(F.col("combined_survival_days") <= 14.0)
-    late = F.col("Exposure_Days") > F.col("combined_survival_days") - 3.0
-    return M.surrogate_rules(rows.withColumn("prodromal", late), "prodromal")
+    return R.rules(prodromal_rows(spark, sf), "prodromal", "combined_survival_days")
 
 
 WSTAT = " UNION ALL ".join(
