@@ -7,6 +7,8 @@ few passes of numpy whatever the window length is.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,22 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTE_BASE, WINDOW_BASE, SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
+#: Tables that operators keep in a worker for their next task.
+HELD: list[dict] = []
+
+
+def lean() -> None:
+    """Give back what operators before keep in this worker, which serves tasks of one application for long."""
+    if any(HELD):
+        for table in HELD:
+            table.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of a 64-bit value (splitmix64)."""
     x = x ^ (x >> np.uint64(30))

@@ -31,8 +31,8 @@ SIZE = BANDS * ROWS
 #: Signatures below this estimate are not compared on the texts (0.8 is 3.2 deviations above).
 ESTIMATE = 0.7
 BLOCK = 2048
-#: Nodes that may be broadcast (some 50 MB); more of them are joined by a shuffle, with the same result.
-BROADCAST_NODES = 500_000
+#: Bits of the filter that texts pass before they travel (8 MB at any size), and of one row of it.
+FILTER_BITS, FILTER_ROW = 1 << 26, 4096
 #: Components that an outsider is compared with in a round, and rounds before all pairs are.
 NEAREST, NEAREST_ROUNDS = 4, 2
 _STEP = 0x9E3779B97F4A7C15
@@ -93,6 +93,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kernel.lean()
     for big in kernel.chunks(batches, "text", 1 << 19):
         for a in range(0, big.num_rows, 1000):
             piece = big.slice(a, 1000)
@@ -233,6 +234,25 @@ def _rest(buckets: DataFrame, nodes: DataFrame, label: DataFrame, texts: DataFra
     return both.applyInArrow(_nearest if texts is None else _links, "a binary, b binary").distinct()
 
 
+def _passing(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows whose ``node`` may be one of ``nodes``: all that are, and others by the filter's chance.
+
+    The filter has a fixed number of bits; the fuller it is the more rows pass, and the
+    join that follows is right in any case.
+    """
+
+    def bit(node: str):
+        h = F.pmod(F.xxhash64(node), F.lit(FILTER_BITS))
+        return F.floor(h / FILTER_ROW).cast("int").alias("row"), F.floor(h % FILTER_ROW / 64).cast("int").alias("word"), (h % 64).cast("int").alias("bit")
+
+    words = nodes.select(*bit("node")).groupBy("row", "word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
+    held = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("of"))  # FILTER_ROW / 64 entries at most
+    held = held.select("row", F.transform(F.sequence(F.lit(0), F.lit(FILTER_ROW // 64 - 1)), lambda w: F.coalesce(F.try_element_at("of", w), F.lit(0).cast("long"))).alias("words"))
+    own = rows.select("*", *bit("node")).join(F.broadcast(held), "row")  # FILTER_BITS / 8 bytes
+    hit = F.call_function("shiftrightunsigned", F.get("words", F.col("word")), F.col("bit")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return own.where(hit).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``key``, ``text_key`` (md5 of the text) and ``class_id``.
 
@@ -255,9 +275,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     buckets = settle(rows.join(shared, "h").distinct())
     pairs = settle(buckets.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     met = settle(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    # Only the texts of nodes that met another one travel, while their 16-byte names are few enough to send along.
-    wanted = F.broadcast(met) if met.count() <= BROADCAST_NODES else met
-    texts = settle(base.join(wanted, "node").groupBy("node").agg(F.first("text").alias("text")))
+    texts = settle(_passing(base.where("text is not null"), met).join(met, "node").groupBy("node").agg(F.first("text").alias("text")))
 
     # One leader for each member, then whatever of the stars is not connected by that.
     one = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)

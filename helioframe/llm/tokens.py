@@ -7,6 +7,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from helioframe.llm import kernel
+
 END_ID = 1
 #: Words whose ids a worker keeps; others are encoded once a call.
 KEPT_WORDS = 500_000
@@ -33,10 +35,9 @@ class _Words(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
+        self.rules = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         # For lower-case words and marks that are already apart: the same model, no further rules.
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain = None, pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -44,7 +45,9 @@ class _Words(dict):
     def learn(self, words: set[str]) -> dict[str, bytes]:
         split = {w: (m[1].lower(), m[2]) for w in words if (m := _SIMPLE.fullmatch(w))}
         parts = list({p for pair in split.values() for p in pair if p})
-        ids = _ids(self.plain, " ".join(parts))
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.plain
+        ids = _ids(self.tokenizer, " ".join(parts))
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.rules
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(parts):  # a vocabulary without word ends
             split, ends, parts = {}, ends[:0], []
@@ -60,6 +63,7 @@ def _ids(tokenizer, text: str) -> np.ndarray:
 
 
 _encoders: dict[str, _Words] = {}
+kernel.HELD.append(_encoders)
 
 
 class Encoder:
