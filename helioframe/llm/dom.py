@@ -59,7 +59,7 @@ def read(html: str | None) -> Page:
 
     def flush() -> None:
         if buffer:
-            text = " ".join(unescape("".join(buffer)).split())
+            text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
                 page.runs.append((stack[-1][1], text))
@@ -75,7 +75,7 @@ def read(html: str | None) -> Page:
 
     def add(text: str) -> None:
         if text and not hidden:
-            buffer.append(text)
+            buffer.append(unescape(text))  # a reference never reaches over a tag
             if links:
                 page.linked[stack[-1][1]] += len(text)
 

@@ -69,12 +69,13 @@ def crc_sql(text: str) -> str:
 
 SQL["op3_sharding"] = f"""
 WITH {CRC_TABLE},
-s AS (SELECT doc_id, source, coalesce(text, '') AS t, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS mix FROM documents),
+d AS MATERIALIZED (SELECT doc_id, source, coalesce(text, '') AS t, {crc_sql("coalesce(text, '')")} AS crc32 FROM documents, crc),
+s AS (SELECT *, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || crc32 || ':' || (strlen(t) + 1)) AS mix FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY mix, t) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM s),
 g AS (SELECT *, row_number() OVER (ORDER BY (k + CAST(0.5 AS DOUBLE)) / n, source NULLS FIRST, k) - 1 AS pos, count(*) OVER () AS total FROM r)
-SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, {crc_sql('t')} AS text_crc32, 'rows' AS law, CAST(pos * 8 // total AS INTEGER) AS shard,
+SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, crc32 AS text_crc32, 'rows' AS law, CAST(pos * 8 // total AS INTEGER) AS shard,
        CAST(pos - ((pos * 8 // total) * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM g, crc
+FROM g
 """
 
 
@@ -104,7 +105,8 @@ def op9_chat_collapse(spark, sf_dir):
 
 
 SQL["op9_chat_collapse"] = r"""
-WITH g AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS ts FROM conversations GROUP BY conv_id),
+WITH m AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM conversations),
+g AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn, role, text) AS ts FROM m GROUP BY conv_id, lone),
 whole AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_copies FROM g GROUP BY ts),
 begun AS (SELECT DISTINCT list_slice(ts, 1, i) AS ts FROM g, unnest(range(1, len(ts))) AS u(i))
 SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS n_copies,

@@ -5,8 +5,8 @@ Within each source, rows are ranked in a seeded shuffle; the fractional rank
 and cut into equal runs, each shard gets every source's share up to one row.
 
 Both rankings are distributed: rows are counted by (source, slice of the shuffle key)
-or by slice of the fractional rank, the counts are summed up, and rows are numbered
-inside one slice only.  The number of slices follows the number of rows, so a slice
+or by slice of the fractional rank, the counts are summed up in two steps (runs of
+slices, slices of a run), and rows are numbered inside one slice only.  The number of slices follows the number of rows, so a slice
 holds about ``SLICE`` rows, however large a source is.
 """
 
@@ -22,9 +22,13 @@ SLICE = 4096
 def _numbered(rows: DataFrame, keys: list[str], slice_: Column, order: list[str | Column], rank: str) -> DataFrame:
     """Add the 0-based rank of each row in ``order`` per ``keys``; slices are ordered like the rows."""
     cut = rows.withColumn("__slice", slice_)
-    sizes = cut.groupBy(*keys, "__slice").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    base = sizes.select(*keys, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    sizes = cut.groupBy(*keys, "__slice").agg(F.count("*").alias("__n")).withColumn("__run", F.floor(F.col("__slice") / SLICE))
+    runs = sizes.groupBy(*keys, "__run").agg(F.sum("__n").alias("__sum"))
+    upto = lambda *of: W.partitionBy(*of).orderBy("__run" if "__run" not in of else "__slice").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select(*keys, "__run", F.coalesce(F.sum("__sum").over(upto(*keys)), F.lit(0)).alias("__first"))  # rows / SLICE ** 2
+    here = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(upto(*keys, "__run")), F.lit(0)))
+    same = [here[k].eqNullSafe(runs[k]) for k in [*keys, "__run"]]
+    base = here.join(runs, same).select(*[here[c] for c in [*keys, "__slice"]], (here["__base"] + runs["__first"]).alias("__base"))
     inner = W.partitionBy(*keys, "__slice").orderBy(*order)
     placed = cut.withColumn("__in", F.row_number().over(inner) - 1)
     on = [placed[k].eqNullSafe(base[k]) for k in [*keys, "__slice"]]
@@ -46,11 +50,13 @@ def interleave(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str
     added = ["size", "text_crc32", "law", "shard", "slot"]
     keep = [c for c in docs.columns if c != text and c not in added]
     body = F.coalesce(F.col(text), F.lit(""))
-    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    size, crc = F.octet_length(body).cast("long") + 1, F.crc32(body)
+    # The text has a part in it, so that rows without a key, or with one that repeats, are spread too.
+    shuffled = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), crc.cast("string"), F.lit(":"), size.cast("string")))
     rows = docs.select(
         *keep,
-        (F.octet_length(body).cast("long") + 1).alias("size"),
-        F.crc32(body).alias("text_crc32"),
+        size.alias("size"),
+        crc.alias("text_crc32"),
         shuffled.alias("__mix"),
         F.col(stratum).alias("__of"),
     )

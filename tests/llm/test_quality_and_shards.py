@@ -52,7 +52,8 @@ def test_quality_columns_and_empty(odd, empty):
 def brute_shards(rows, shards=8):
     by = {}
     for d, t, s in rows:
-        by.setdefault(s, []).append((hashlib.md5(f"7:{'' if d is None else d}".encode()).hexdigest(), zlib.crc32((t or "").encode()), len((t or "").encode()) + 1, d))
+        crc, size = zlib.crc32((t or "").encode()), len((t or "").encode()) + 1
+        by.setdefault(s, []).append((hashlib.md5(f"7:{'' if d is None else d}:{crc}:{size}".encode()).hexdigest(), crc, size, d))
     order = []
     for s, v in by.items():
         order += [((k + 0.5) / len(v), s or "", k, r[3], r[1]) for k, r in enumerate(sorted(v, key=lambda r: r[:3]))]
@@ -80,3 +81,12 @@ def test_shards_match_the_mixture(spark, monkeypatch):
     for s in range(8):
         assert sorted(r["slot"] for r in got.where(F.col("shard") == s).select("slot").collect()) == list(range(sizes[0] if len(set(sizes)) == 1 else got.where(F.col("shard") == s).count()))
     assert sharding.interleave(rows.limit(0)).count() == 0
+
+
+def test_rows_without_a_key_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE", 8)  # several runs of slices
+    long = "very long " * 30_000
+    rows = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id"), F.when(F.col("id") == 5, long).otherwise("")).alias("text"), F.lit(None).cast("string").alias("source"))
+    got = sharding.interleave(rows).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(8) for i in range(75)]
+    assert max(r["size"] for r in got) == len(long) + 7

@@ -195,6 +195,12 @@ def test_rounds_of_a_benchmark_are_bounded_by_parts(monkeypatch):
     assert [[i for i, _ in some] for some in latent.rounds(items)] == [[0, 1, 2], [3], [4, 5]]
 
 
+def test_references_end_at_tags():
+    text = lambda html: [t for _, t in dom.read(html).runs]
+    assert text("<p><b>&</b>amp; &a<i>mp; &lt;b&gt;</i></p>") == ["&amp; &amp; <b>"]
+    assert text("<p>a&nbsp;&amp;amp; b</p>") == ["a &amp; b"]
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
