@@ -290,8 +290,8 @@ def array_median(a: Column) -> Column:
     return (F.element_at(s, F.floor((n + 1) / 2.0).cast("int")) + F.element_at(s, F.ceil((n + 1) / 2.0).cast("int"))) / 2.0
 
 
-def blind(units: DataFrame, rows: DataFrame, fit: Callable, roll: Callable) -> DataFrame | None:
-    """Forecasts of each device by a model that never saw it; None without a second device.
+def blind(units: DataFrame, rows: DataFrame, fit: Callable, roll: Callable, empty: str | None = None) -> DataFrame | None:
+    """Forecasts of each device by a model that never saw it; without a second device an empty table of schema ``empty``, or None.
 
     ``fit`` gets the training rows of the other devices, ``roll`` the device's units and
     that model.  Devices are fitted from a few threads; each roll is stored.
@@ -307,7 +307,7 @@ def blind(units: DataFrame, rows: DataFrame, fit: Callable, roll: Callable) -> D
     for p in in_parallel(units.sparkSession, [lambda c=c: job(c) for c in cells]):
         if p is not None:
             out = p if out is None else out.unionByName(p)
-    return out
+    return units.sparkSession.createDataFrame([], empty) if out is None and empty else out
 
 
 def roll_forward_batch(units: DataFrame, model, horizon: int = SETTINGS.horizon_eval, window: int = 2) -> DataFrame:
@@ -414,10 +414,10 @@ def model_zoo_cv(matrix: DataFrame, label: str = "Daily_Damage_Increment", round
 
     names = ["dummy_mean", "dummy_median", *zoo(label, rounds, trees)]
     jobs = [lambda s=s, i=i, n=n: job(s, i, n) for s in ("shuffled", "grouped") for n in names for i in range(k)]
-    parts = [p for p in in_parallel(spark, jobs) if p is not None]
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    scored = spark.createDataFrame([], "scheme string, model string, y double, prediction double")
+    for p in in_parallel(spark, jobs):
+        if p is not None:
+            scored = scored.unionByName(p)
     scored = settle(scored)
     keys = ["scheme", "model"]
     e = F.col("prediction") - F.col("y")

@@ -297,13 +297,15 @@ def _(spark, sf):
 
 @query("f04_roll_forward_batch", "cell_name anchor:i D0:f D_end:f n_future:i")
 def _(spark, sf):
-    return M.blind(FQ.units(spark, sf), D.rul_days(spark, sf), M.damage_increment_model, M.roll_forward_batch)
+    none = "cell_name string, anchor int, D0 double, D_end double, n_future int"
+    return M.blind(FQ.units(spark, sf), D.rul_days(spark, sf), M.damage_increment_model, M.roll_forward_batch, none)
 
 
 @query("f12_trajectory_roll_forward", "cell_name anchor:f step:i Date_Day:d " + " ".join(f"Actual_{p}:f Pred_{p}:f" for p in TRAJECTORY_PARAMETERS))
 def _(spark, sf):
     s = TQ.state(spark, sf)
-    return M.blind(T.trajectory_units(s, [14.0]), s, M.trajectory_models, M.trajectory_roll_forward)
+    none = "cell_name string, anchor double, step int, Date_Day date, " + ", ".join(f"Actual_{p} double, Pred_{p} double" for p in TRAJECTORY_PARAMETERS)
+    return M.blind(T.trajectory_units(s, [14.0]), s, M.trajectory_models, M.trajectory_roll_forward, none)
 
 
 @query("f08_smoothing_window_sweep", "window:i mae_sensor:f mae_api:f mae_combined:f n_combinations:i")

@@ -48,6 +48,7 @@ def test_blind_models_never_see_the_device(spark):
     assert seen == {"short": {"long"}, "long": {"short"}}
     alone = s.where("cell_name = 'long'")
     assert models.blind(trajectory.trajectory_units(alone, [5.0]), alone, fit, roll) is None
+    assert models.blind(trajectory.trajectory_units(alone, [5.0]), alone, fit, roll, "cell_name string").count() == 0
 
 
 def test_permutation_moves_every_row(spark):
