@@ -121,18 +121,21 @@ def device_groups(rows: DataFrame, groups: int = B.GROUPS) -> DataFrame:
     return cells.withColumn("grp", F.ntile(groups).over(W.orderBy("cell_name")) - 1)  # one row a device
 
 
-def twin_models(sets: int, first: int = 0) -> list[B.Model]:
-    """The boosters of relative PCE and pFF for each of ``sets`` training sets."""
+def twin_models(sets: int | Sequence[int]) -> list[B.Model]:
+    """The boosters of relative PCE and pFF for each training set (a list, or how many)."""
     boosts = [B.settings(TWIN[m], **TWIN_PENALTIES) for m in TWIN]
-    return [B.Model(first + s, i, tuple(range(len(TWIN_FEATURES))), b) for s in range(sets) for i, b in enumerate(boosts)]
+    every = range(sets) if isinstance(sets, int) else sets
+    return [B.Model(s, i, tuple(range(len(TWIN_FEATURES))), b) for s in every for i, b in enumerate(boosts)]
 
 
-def twin_predictions(rows: DataFrame, keys: Sequence[str], sets: int) -> DataFrame:
+def twin_predictions(rows: DataFrame, keys: Sequence[str], sets: int | Sequence[int]) -> DataFrame:
     """Predictions of the twin's boosters as one row a row and set: ``set``, ``p_PCE``, ``p_pFF``."""
-    got, _ = B.fit_many(rows, keys, TWIN_FEATURES, [f"{m}_Relative" for m in TWIN], twin_models(sets))
+    models = twin_models(sets)
+    got, _ = B.fit_many(rows, keys, TWIN_FEATURES, [f"{m}_Relative" for m in TWIN], models)
     place = F.col("model") % len(TWIN)
     picks = [F.max(F.when(place == i, F.col("prediction"))).alias(f"p_{m}") for i, m in enumerate(TWIN)]
-    return got.groupBy(*keys, F.floor(F.col("model") / len(TWIN)).cast("int").alias("set")).agg(*picks)
+    of = F.get(F.array(*[F.lit(m.set) for m in models]), F.col("model")) if models else F.lit(0)
+    return got.groupBy(*keys, of.alias("set")).agg(*picks)
 
 
 def loocv_gate(rows: DataFrame) -> DataFrame:
@@ -227,19 +230,22 @@ def burn_in_grid_fitted(rows: DataFrame, windows: Sequence[float] = SETTINGS.bur
     per_cell = data.groupBy("cell_name").agg(*[F.count(F.when(c, 1)).alias(f"m{i}") for i, c in enumerate(learns)])
     earlier = W.orderBy("cell_name").rowsBetween(W.unboundedPreceding, -1)  # one row a device
     offsets = per_cell.select("cell_name", *[F.coalesce(F.sum(f"m{i}").over(earlier), F.lit(0)).alias(f"o{i}") for i in range(len(windows))])
+    alive = data.join(groups, "cell_name").groupBy("grp").agg(*[F.max(c.cast("int")).alias(f"c{i}") for i, c in enumerate(inside)]).collect()  # one row a group
     d = ordered_scan(data, ["cell_name"], ["Timestamp", "curve"], time_chunk("Timestamp", 21600), sums={f"r{i}": c.cast("int") for i, c in enumerate(learns)})
     d = d.join(offsets, "cell_name").join(groups, "cell_name")
-    trains, asked = [], []
+    trains, asked, used = [], [], []
     for i, (c, learn) in enumerate(zip(inside, learns, strict=True)):
         if cohorts[f"c{i}"] < 2:
             continue
         first = i * per
         block = S.contiguous_block(F.col(f"r{i}") + F.col(f"o{i}") - 1, F.lit(cohorts[f"n{i}"]), INNER).cast("int")
-        sets = [F.when(F.col("grp") != j, F.lit(first + j)) for j in range(count)] + [F.when(block != j, F.lit(first + count + j)) for j in range(INNER)]
+        held = sorted(r["grp"] for r in alive if r[f"c{i}"])
+        used += [first + j for j in [*held, *range(count, per)]]
+        sets = [F.when(F.col("grp") != j, F.lit(first + j)) for j in held] + [F.when(block != j, F.lit(first + count + j)) for j in range(INNER)]
         trains.append(F.when(learn, F.array_compact(F.array(*sets))).otherwise(_none()))
         asked.append(F.when(learn, F.array(block + (first + count))).when(c, F.array(F.col("grp") + first)).otherwise(_none()))
     d = d.withColumns({"trains": F.flatten(F.array(*trains)) if trains else _none(), "asked": F.flatten(F.array(*asked)) if asked else _none()})
-    p = twin_predictions(d, ["cell_name", "curve"], len(windows) * per)
+    p = twin_predictions(d, ["cell_name", "curve"], used)
     truth = data.select("cell_name", "curve", *[f"{m}_Relative" for m in TWIN])
     p = p.join(truth, ["cell_name", "curve"]).withColumns({"w": F.floor(F.col("set") / per).cast("int"), "inner": F.col("set") % per >= count})
     long = p.select("w", "inner", "cell_name", *[F.abs(F.col(f"p_{m}") - F.col(f"{m}_Relative")).alias(m) for m in TWIN])
