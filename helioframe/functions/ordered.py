@@ -56,6 +56,17 @@ def value_chunk(c: str | Column, width: float) -> Column:
     return F.floor(c / F.lit(float(width))).cast("long")
 
 
+def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = CHUNK) -> DataFrame:
+    """Store ``df`` with the chunk of each row: ranges of ``(keys, order)`` with bounds from a sample.
+
+    Chunks hold about equally many rows whatever the values are (outliers, dense spots);
+    only rows equal in ``keys`` and ``order`` must share one.  Chunks never decrease along
+    ``order`` within ``keys``.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(df.repartitionByRange(parts, *keys, *order).withColumn(name, F.spark_partition_id()))
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -125,14 +136,12 @@ def ordered_scan(
     return out.select(*df.columns, *sums, *lasts, *lags, *maxes)
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], bins: int = 4096
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, for groups of any size.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, for groups of any size and any values.
 
     ``percentile`` keeps every distinct value of a group in one task's memory.
-    Here equal values are counted first (map-side combined), the counts are
-    binned by value, and only the bins that hold a wanted rank are ordered.
+    Here equal values are counted first (map-side combined), the counts are ordered in
+    ranges of equal size, and running counts find the values at the wanted ranks.
     Returns one row per group with the requested columns and ``n``.
     """
     one = not keys
@@ -140,34 +149,17 @@ def exact_quantiles(
     if one:
         keys, src = ["__all"], src.withColumn("__all", F.lit(1))
     counts = src.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    counts = settle(counts)  # read three times below
-    span = counts.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("n")
-    )
-    place = F.floor((F.col("__v") - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * bins)
-    binned = counts.join(span, keys).withColumn("__b", F.least(F.lit(bins - 1), F.coalesce(place, F.lit(0))))
-    order = W.partitionBy(*keys).orderBy("__b")
-    ranks = [f(F.lit(q) * (F.col("n") - 1)) for q in qs.values() for f in (F.floor, F.ceil)]
-    wanted = (
-        binned.groupBy(*keys, "__b", "n")
-        .agg(F.sum("__n").alias("__bn"))
-        .withColumn("__start", F.sum("__bn").over(order) - F.col("__bn"))
-        .where(F.exists(F.array(*ranks), lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__bn"))))
-        .select(*keys, "__b", "__start")
-    )
-    in_bin = W.partitionBy(*keys, "__b").orderBy("__v")
-    ranked = (
-        binned.join(wanted, [*keys, "__b"])
-        .withColumn("__to", F.col("__start") + F.sum("__n").over(in_bin.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("__from", F.col("__to") - F.col("__n"))
-    )
-    picks = []
+    chunks = range_chunks(counts, keys, ["__v"])
+    totals = chunks.groupBy(*keys).agg(F.sum("__n").alias("n"))
+    ranked = ordered_scan(chunks, keys, ["__v"], CHUNK, sums={"__to": F.col("__n")}).withColumn("__from", F.col("__to") - F.col("__n"))
+    hits, picks = F.lit(False), []
     for i, q in enumerate(qs.values()):
         pos = F.lit(q) * (F.col("n") - 1)
         for tag, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (r >= F.col("__from")) & (r < F.col("__to"))
+            hits = hits | hit
             picks.append(F.max(F.when(hit, F.col("__v"))).alias(f"__{tag}{i}"))
-    got = ranked.groupBy(*keys, "n").agg(*picks)
+    got = ranked.join(totals, keys).where(hits).groupBy(*keys, "n").agg(*picks)
     for i, (name, q) in enumerate(qs.items()):
         pos = F.lit(q) * (F.col("n") - 1)
         got = got.withColumn(
@@ -176,6 +168,38 @@ def exact_quantiles(
     return got.select(*([] if one else keys), *qs, "n")
 
 
+def left_out_quantile(df: DataFrame, keys: Sequence[str], group: str, value: str, q: float = 0.5) -> DataFrame:
+    """Exact quantile of the values outside each group: ``keys``, ``group``, ``value`` and ``n``, the rows outside.
+
+    Linear in the rows, whatever the number of groups: without a group, the value of rank
+    m is that of rank m + c among all rows, where c counts the group's rows that have at
+    most m foreign rows before them.  Null groups and values do not take part; a group
+    that is alone has no quantile and no row.
+    """
+    src = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*keys, F.col(group).alias("__g"), F.col(value).cast("double").alias("__v"))
+    keys_of, keys = keys, [*keys, "__all"]
+    counts = src.withColumn("__all", F.lit(1)).groupBy(*keys, "__v", "__g").agg(F.count("*").alias("__n"))
+    chunks = range_chunks(counts, keys, ["__v", "__g"])
+    placed = settle(ordered_scan(chunks, keys, ["__v", "__g"], CHUNK, sums={"__to": F.col("__n")}).withColumn("__from", F.col("__to") - F.col("__n")))
+    own = range_chunks(placed, [*keys, "__g"], ["__from"])
+    own = ordered_scan(own, [*keys, "__g"], ["__from"], CHUNK, sums={"__own": F.col("__n")})
+    totals = placed.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    sizes = placed.groupBy(*keys, "__g").agg(F.sum("__n").alias("__size")).join(totals, keys)
+    rest = sizes.withColumn("n", F.col("__total") - F.col("__size")).where("n > 0")
+    pos = F.lit(q) * (F.col("n") - 1)
+    rest = rest.withColumns({"__lo": F.floor(pos), "__hi": F.ceil(pos), "__share": pos - F.floor(pos)})
+    foreign = F.col("__from") - (F.col("__own") - F.col("__n"))  # rows of other groups before
+    shift = lambda m: F.sum(F.when(foreign <= F.col(m), F.col("__n")).otherwise(0))
+    both = own.join(rest, [*keys, "__g"]).groupBy(*keys, "__g", "n", "__lo", "__hi", "__share").agg(shift("__lo").alias("__clo"), shift("__hi").alias("__chi"))
+    asks = F.explode(F.array(*[F.struct((F.col(m) + F.col(c)).alias("pos"), F.lit(i).alias("end")) for i, (m, c) in enumerate((("__lo", "__clo"), ("__hi", "__chi")))]))
+    asked = both.withColumn("a", asks).select(*keys, F.col("a.pos").alias("__pos"), F.lit(1).alias("__kind"), F.col("a.end").alias("__end"), "__g", "n", "__share", F.lit(None).cast("double").alias("__v"))
+    rows = placed.select(*keys, F.col("__from").alias("__pos"), F.lit(0).alias("__kind"), F.lit(None).cast("int").alias("__end"), F.lit(None).cast(src.schema["__g"].dataType).alias("__g"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("__share"), "__v")
+    met = range_chunks(rows.unionByName(asked), keys, ["__pos", "__kind"])
+    met = ordered_scan(met, keys, ["__pos", "__kind"], CHUNK, lasts={"__at": F.col("__v")}).where("__kind = 1")
+    ends = met.groupBy(*keys, "__g", "n", "__share").agg(*[F.max(F.when(F.col("__end") == i, F.col("__at"))).alias(f"__e{i}") for i in (0, 1)])
+    return ends.select(*keys_of, F.col("__g").alias(group), (F.col("__e0") + (F.col("__e1") - F.col("__e0")) * F.col("__share")).alias("value"), "n")
+
+
 def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on keys; without keys ``other`` is a one-row global aggregate."""
     return df.join(other, list(keys), how) if keys else df.crossJoin(F.broadcast(other))

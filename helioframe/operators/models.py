@@ -24,7 +24,7 @@ from helioframe.config import (
     DAMAGE_FEATURES, DAMAGE_PARAMS, DAMAGE_PENALTIES, FOREST_PARAMS, SEED, SETTINGS, TRAJECTORY_PARAMETERS, TWIN_FEATURES,
     TWIN_PCE_PARAMS, TWIN_PENALTIES, TWIN_PFF_PARAMS,
 )
-from helioframe.functions.ordered import exact_quantiles, ordered_scan, time_chunk
+from helioframe.functions.ordered import exact_quantiles, left_out_quantile, ordered_scan, time_chunk
 from helioframe.functions.stages import settle
 from helioframe.operators import boosting as B, screening as S, shapes as H
 
@@ -499,10 +499,8 @@ def feature_ablation(matrix: DataFrame, label: str = "Daily_Damage_Increment", f
 
 def null_model_error(matrix: DataFrame, label: str) -> DataFrame:
     """Error of the training median per holdout (daily rows, one fold per device)."""
-    cells = matrix.agg(F.array_sort(F.collect_set("cell_name")).alias("cells"))  # device names
     m = matrix.select("cell_name", F.col(label).alias("y"))
-    folds = m.crossJoin(F.broadcast(cells)).withColumn("fold", F.explode("cells")).where(F.col("fold") != F.col("cell_name"))
-    med = exact_quantiles(folds.select("fold", "y"), ["fold"], "y", {"median": 0.5}).select(F.col("fold").alias("cell_name"), "median")
+    med = left_out_quantile(m, [], "cell_name", "y", 0.5).select("cell_name", F.col("value").alias("median"))
     return m.join(med, "cell_name").groupBy("cell_name").agg(mae(F.col("median"), F.col("y")).alias("mae"), F.count("*").alias("n"))
 
 

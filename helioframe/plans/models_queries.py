@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from helioframe.config import DAMAGE_FEATURES, TRAJECTORY_PARAMETERS, TWIN_FEATURES
 from helioframe.functions import expr as X
 from helioframe.functions.stages import settle, shared_folder
-from helioframe.operators import curves, features, forecast as P, models as M, production as K, screening as S, shapes as H, surrogates as R, trajectory as T
+from helioframe.operators import curves, features, forecast as P, models as M, production as K, screening as S, shapes as H, surrogates as R, trajectory as T, validation as V
 from helioframe.plans import daily_queries as D, forecast_queries as FQ, screening_queries as Q, sweeps_queries as SQ, trajectory_queries as TQ
 from helioframe.plans.lifetime_queries import lifetimes
 from helioframe.plans.registry import query, view
@@ -159,6 +159,99 @@ def _(spark, sf):
     return M.split_gain_importance(M.damage_increment_model(d), spark, DAMAGE_FEATURES)
 
 
+# The audit of the daily models: one stored table of out-of-fold predictions, and what follows from it.
+
+
+@staged
+def out_of_fold(spark, sf):
+    jobs = [lambda: V.out_of_fold(D.rul_days(spark, sf), V.damage_targets()), lambda: V.out_of_fold(TQ.state(spark, sf), V.trajectory_targets())]
+    damage, state = M.in_parallel(spark, jobs)
+    return damage.unionByName(state)
+
+
+FOLD_SCORES = "target scheme model n_folds:i n:i " + " ".join(f"{m}_{s}:f" for m in V.METRICS for s in ("mean", "std"))
+
+
+@query("m17_fold_scores", FOLD_SCORES)
+def _(spark, sf):
+    return V.fold_scores(out_of_fold(spark, sf))
+
+
+def _audited(name, label, features, table):
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (label, *features))
+    return f"SELECT '{name}' AS target, cell_name, Date_Day, {label} AS y, {features[-1]} AS own_lag FROM {table} WHERE {known}"
+
+
+view(
+    "v_audited",
+    " UNION ALL ".join(
+        _audited(t.name, t.label, t.features, v)
+        for ts, v in ((V.damage_targets(), "v_rul"), (V.trajectory_targets(), "v_state"))
+        for t in ts
+    ),
+)
+view(
+    "v_folded",
+    " UNION ALL ".join(
+        f"SELECT target, '{s}' AS scheme, CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % 5 AS fold, y FROM v_audited"
+        for s, key in (("shuffled", "cell_name || '|' || strftime(Date_Day, '%Y-%m-%d')"), ("grouped", "cell_name"))
+    ),
+)
+
+
+@query(
+    "m17_dummy_scores",
+    FOLD_SCORES,
+    """WITH f AS (SELECT h.target, h.scheme, h.fold, avg(t.y) AS dummy_mean, quantile_cont(t.y, 0.5) AS dummy_median
+  FROM (SELECT DISTINCT target, scheme, fold FROM v_folded) h JOIN v_folded t ON t.target = h.target AND t.scheme = h.scheme AND t.fold <> h.fold GROUP BY 1, 2, 3),
+p AS (SELECT target, scheme, fold, y, 'dummy_mean' AS model, dummy_mean AS p FROM v_folded JOIN f USING (target, scheme, fold)
+  UNION ALL SELECT target, scheme, fold, y, 'dummy_median', dummy_median FROM v_folded JOIN f USING (target, scheme, fold)),
+s AS (SELECT target, scheme, model, fold, count(*) AS n, avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse, quantile_cont(abs(p - y), 0.5) AS medae,
+  CASE WHEN min(y) < max(y) THEN 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) END AS r2 FROM p GROUP BY 1, 2, 3, 4)
+SELECT target, scheme, model, count(*) AS n_folds, sum(n) AS n, avg(mae) AS mae_mean, stddev_pop(mae) AS mae_std, avg(rmse) AS rmse_mean, stddev_pop(rmse) AS rmse_std,
+  avg(medae) AS medae_mean, stddev_pop(medae) AS medae_std, avg(r2) AS r2_mean, stddev_pop(r2) AS r2_std FROM s GROUP BY 1, 2, 3""",
+)
+def _(spark, sf):
+    """Folds, dummies and measures alone; the same code scores every model of ``m17_fold_scores``."""
+    return V.fold_scores(V.dummies(settle(V.by_scheme(audited(spark, sf)))))
+
+
+def audited(spark, sf):
+    return V.long_rows(D.rul_days(spark, sf), V.damage_targets()).unionByName(V.long_rows(TQ.state(spark, sf), V.trajectory_targets()))
+
+
+@query("m20_device_errors", "target scheme cell_name n:i mae:f bias:f")
+def _(spark, sf):
+    return V.device_errors(out_of_fold(spark, sf))
+
+
+@query("m20_residual_correlations", "target scheme feature corr:f")
+def _(spark, sf):
+    oof = out_of_fold(spark, sf)
+    damage = V.residual_correlations(oof, D.rul_days(spark, sf), V.damage_targets())
+    return damage.unionByName(V.residual_correlations(oof, TQ.state(spark, sf), V.trajectory_targets()))
+
+
+@query("m20_overfit_gap", "target mae_cv:f mae_train:f gap:f is_overfit:b")
+def _(spark, sf):
+    return V.overfit_gap(out_of_fold(spark, sf))
+
+
+@query("m21_target_verdicts", "target best_model best_mae:f baseline_mae:f gain_pct:f verdict lag_corr:f lag_verdict")
+def _(spark, sf):
+    return V.signal_verdicts(V.fold_scores(out_of_fold(spark, sf)), V.lag_correlations(audited(spark, sf)))
+
+
+@query("m21_lag_correlations", "target lag_corr:f", "SELECT target, corr(y, own_lag) AS lag_corr FROM v_audited GROUP BY 1")
+def _(spark, sf):
+    return V.lag_correlations(audited(spark, sf))
+
+
+@query("w16_phase_errors", "target bin:i n:i mae:f lo:f hi:f")
+def _(spark, sf):
+    return V.phase_errors(out_of_fold(spark, sf))
+
+
 RES_FEATURES = ["POA_Irradiance_W_m2", "ModuleTemp_C", "AbsoluteHumidity_g_m3"]
 MET = ", ".join(f"corr(Under_PCE, {f}) AS c_{i}" for i, f in enumerate(RES_FEATURES))
 
