@@ -161,6 +161,11 @@ def forests(long: DataFrame, targets: Sequence[Target], trees: int | None = None
     return out
 
 
+def _others(folds: Column, scheme: str, first: int) -> Column:
+    """Set numbers of the folds that a row is not in."""
+    return F.transform(F.filter(folds, lambda j: j != F.col(scheme)), lambda j: (j + first).cast("int"))
+
+
 def boosters(matrix: DataFrame, targets: Sequence[Target], rounds: int | None = None, k: int = FOLDS) -> DataFrame:
     """The daily booster with its own and with stronger penalties, all folds and targets fitted at once.
 
@@ -179,7 +184,7 @@ def boosters(matrix: DataFrame, targets: Sequence[Target], rounds: int | None =
         sets, asks = [F.array(F.lit(n * per + everything))], [F.lit(n * per + everything)]
         for i, s in enumerate(SCHEMES):
             first = n * per + i * k
-            sets.append(F.transform(F.filter(folds, lambda j, s=s: j != F.col(s)), lambda j, first=first: (j + first).cast("int")))
+            sets.append(_others(folds, s, first))
             asks.append((F.col(s) + first).cast("int"))
         whole = F.forall(F.array(t.label, *t.features), lambda v: v.isNotNull())
         none = F.array().cast("array<int>")
