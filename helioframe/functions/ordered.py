@@ -56,14 +56,14 @@ def value_chunk(c: str | Column, width: float) -> Column:
     return F.floor(c / F.lit(float(width))).cast("long")
 
 
-def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = CHUNK) -> DataFrame:
+def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None, name: str = CHUNK) -> DataFrame:
     """Store ``df`` with the chunk of each row: ranges of ``(keys, order)`` with bounds from a sample.
 
     Chunks hold about equally many rows whatever the values are (outliers, dense spots);
     only rows equal in ``keys`` and ``order`` must share one.  Chunks never decrease along
     ``order`` within ``keys``.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return settle(df.repartitionByRange(parts, *keys, *order).withColumn(name, F.spark_partition_id()))
 
 
@@ -77,6 +77,7 @@ def ordered_scan(
     lasts: dict[str, Column] | None = None,
     lags: dict[str, Column] | None = None,
     maxes: dict[str, Column] | None = None,
+    store: bool = False,
 ) -> DataFrame:
     """Add running values in ``order`` per ``keys``.
 
@@ -84,7 +85,9 @@ def ordered_scan(
     skipped), ``lasts`` the latest non-null value up to and including the row,
     ``lags`` the value of the row before.  ``chunk`` must not decrease along
     ``order``; given as a column name it is kept, so that a following scan with
-    the same chunk needs no further shuffle.
+    the same chunk needs no further shuffle.  Rows and chunk summaries both read ``df``;
+    with ``store`` it is written once with its inputs and both read that table, so that
+    nested scans compute each level once instead of twice.
     """
     sums, lasts, lags, maxes = sums or {}, lasts or {}, lags or {}, maxes or {}
     ck = chunk if isinstance(chunk, str) else CHUNK
@@ -93,6 +96,8 @@ def ordered_scan(
     for group in (sums, lasts, lags, maxes):
         for name, e in group.items():
             base = base.withColumn(f"__in_{name}", e)
+    if store:
+        base = settle(base)
     at = F.struct(*order)
     inner = W.partitionBy(*keys, ck).orderBy(*order)
     upto = inner.rowsBetween(W.unboundedPreceding, 0)
@@ -136,12 +141,15 @@ def ordered_scan(
     return out.select(*df.columns, *sums, *lasts, *lags, *maxes)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float], bins: int | None = None
+) -> DataFrame:
     """Exact linear-interpolated quantiles per group, for groups of any size and any values.
 
     ``percentile`` keeps every distinct value of a group in one task's memory.
     Here equal values are counted first (map-side combined), the counts are ordered in
-    ranges of equal size, and running counts find the values at the wanted ranks.
+    ``bins`` ranges of equal size (by default as many as a shuffle has partitions), and
+    running counts find the values at the wanted ranks.
     Returns one row per group with the requested columns and ``n``.
     """
     one = not keys
@@ -149,7 +157,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str
     if one:
         keys, src = ["__all"], src.withColumn("__all", F.lit(1))
     counts = src.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
-    chunks = range_chunks(counts, keys, ["__v"])
+    chunks = range_chunks(counts, keys, ["__v"], bins)
     totals = chunks.groupBy(*keys).agg(F.sum("__n").alias("n"))
     ranked = ordered_scan(chunks, keys, ["__v"], CHUNK, sums={"__to": F.col("__n")}).withColumn("__from", F.col("__to") - F.col("__n"))
     hits, picks = F.lit(False), []

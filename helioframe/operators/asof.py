@@ -29,7 +29,7 @@ def _scan(left: DataFrame, right: DataFrame, keys: Sequence[str], sign: int, chu
     stacked = stacked.withColumn("at_us", F.col("at_us") * sign)
     chunk = F.floor(F.col("at_us") / F.lit(chunk_seconds * 1_000_000.0)).cast("long")
     scanned = ordered_scan(
-        stacked, keys, ["at_us", "side", "tie"], chunk, lasts={"matched": F.col("right_row")}
+        stacked, keys, ["at_us", "side", "tie"], chunk, lasts={"matched": F.col("right_row")}, store=True
     )
     return scanned.where(F.col("side") == 1)
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from helioframe.functions.ordered import exact_quantiles, ordered_scan, value_chunk
+from helioframe.functions.ordered import CHUNK, exact_quantiles, ordered_scan, range_chunks
 from helioframe.functions.stages import settle
 from helioframe.operators.curves import RULES, decide
 
@@ -216,13 +216,13 @@ def distribution_profile(df: DataFrame, value: str, limits: Sequence[float]) ->
     return counts.join(per.unionByName(total).withColumnRenamed("cell_name", "c"), F.expr("cell_name <=> c")).drop("c")
 
 
-def largest_upper_gap(df: DataFrame, value: str, q: float = 0.95, width: float = 0.001) -> DataFrame:
+def largest_upper_gap(df: DataFrame, value: str, q: float = 0.95) -> DataFrame:
     """Widest gap between neighbouring values at or above a quantile, and its midpoint."""
     v = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).distinct()
     edge = exact_quantiles(df, [], value, {"edge": q}).select("edge")
     tail = v.crossJoin(F.broadcast(edge)).where(F.col("v") >= F.col("edge"))  # one-row edge
-    tail = tail.select("v", F.lit(1).alias("one"))
-    steps = ordered_scan(tail, ["one"], ["v"], value_chunk("v", width), lags={"below": F.col("v")})
+    tail = range_chunks(tail.select("v", F.lit(1).alias("one")), ["one"], ["v"])
+    steps = ordered_scan(tail, ["one"], ["v"], CHUNK, lags={"below": F.col("v")})
     best = F.max_by(F.struct("below", "v"), F.when(F.col("below").isNotNull(), F.struct(F.col("v") - F.col("below"), -F.col("v"))))
     g = steps.agg(best.alias("g")).select(F.col("g.below").alias("gap_lo"), F.col("g.v").alias("gap_hi"))
     return g.withColumn("width", F.col("gap_hi") - F.col("gap_lo")).withColumn(

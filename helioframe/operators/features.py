@@ -26,7 +26,7 @@ def with_rates_and_doses(df: DataFrame, ts: str = "Timestamp", chunk_seconds: in
     prev = F.struct(
         F.unix_micros(ts).alias("us"), F.col("ModuleTemp_C").alias("temp"), F.col("AbsoluteHumidity_g_m3").alias("hum")
     )
-    c = ordered_scan(c, ["cell_name"], [ts], "time_chunk", lags={"prev": prev})
+    c = ordered_scan(c, ["cell_name"], [ts], "time_chunk", lags={"prev": prev}, store=True)
     dt = (F.unix_micros(ts) - F.col("prev.us")) / F.lit(1e6)
     hours = F.when(dt.isNull(), 600.0).when(dt > GAP_S, 0.0).otherwise(dt) / 3600.0
     c = c.withColumn("dt_hours", hours)
@@ -39,7 +39,7 @@ def with_rates_and_doses(df: DataFrame, ts: str = "Timestamp", chunk_seconds: in
     )
     light = F.col("POA_Irradiance_W_m2") * F.col("dt_hours")
     damp = F.col("AbsoluteHumidity_g_m3") * F.col("dt_hours")
-    c = ordered_scan(c, ["cell_name"], [ts], "time_chunk", sums={"cum_light": light, "cum_damp": damp})
+    c = ordered_scan(c, ["cell_name"], [ts], "time_chunk", sums={"cum_light": light, "cum_damp": damp}, store=True)
     # A missing reading has no dose of its own; the sum goes on after it.
     return (
         c.withColumn("Cum_Light_Dose_Wh_m2", F.when(light.isNotNull(), F.col("cum_light")))

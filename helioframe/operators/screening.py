@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from helioframe.config import SETTINGS
 from helioframe.functions.expr import diagnostic_status, relative_to_initial
-from helioframe.functions.ordered import exact_quantiles, ordered_scan, time_chunk, value_chunk
+from helioframe.functions.ordered import CHUNK, exact_quantiles, ordered_scan, range_chunks, time_chunk
 from helioframe.functions.stages import settle
 from helioframe.operators.features import daylight
 
@@ -277,19 +277,19 @@ def population_compare(pops: DataFrame) -> DataFrame:
     return q.join(base, "metric", "left").withColumn("p98_ratio", F.try_divide(F.col("p98"), F.col("p98_a"))).drop("p98_a")
 
 
-def ks_two_sample(samples: DataFrame, label: str, a: str, b: str, value: str, keys: Sequence[str] = (), width: float = 0.001) -> DataFrame:
+def ks_two_sample(samples: DataFrame, label: str, a: str, b: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Largest distance between two empirical distributions, with the asymptotic p-value.
 
-    Equal values are counted first; running counts are chunked by value.
+    Equal values are counted first; running counts go through ranges of equal size.  Null
+    values do not take part.
     """
-    s = samples.where(F.col(label).isin(a, b))
+    s = samples.where(F.col(label).isin(a, b) & F.col(value).isNotNull())
     ks = list(keys) or ["one"]
     if not keys:
         s = s.withColumn("one", F.lit(1))
-    counts = settle(
-        s.groupBy(*ks, F.col(value).alias("v")).agg(F.count_if(F.col(label) == a).alias("na"), F.count_if(F.col(label) == b).alias("nb"))
-    )
-    run = ordered_scan(counts, ks, ["v"], value_chunk("v", width), sums={"ca": F.col("na"), "cb": F.col("nb")})
+    counts = s.groupBy(*ks, F.col(value).alias("v")).agg(F.count_if(F.col(label) == a).alias("na"), F.count_if(F.col(label) == b).alias("nb"))
+    counts = range_chunks(counts, ks, ["v"])
+    run = ordered_scan(counts, ks, ["v"], CHUNK, sums={"ca": F.col("na"), "cb": F.col("nb")})
     total = counts.groupBy(*ks).agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
     j = run.join(total, ks)
     d = F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb")))
