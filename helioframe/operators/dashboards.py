@@ -67,6 +67,34 @@ def fleet_pivot(b10: DataFrame, cells: Sequence[str], value: str = "PCE") -> Dat
     return b10.groupBy("bucket").pivot("cell_name", list(cells)).agg(F.avg(value))
 
 
+def fleet_map(b10: DataFrame, value: str = "PCE") -> DataFrame:
+    """One row a bucket with ``fleet``, a map of device to mean value, for any list of devices.
+
+    A map holds one entry a device.  Rows without a device or bucket are left out; a
+    device whose readings in a bucket are all null has a null entry.
+    """
+    per = b10.where(F.col("cell_name").isNotNull() & F.col("bucket").isNotNull()).groupBy("bucket", "cell_name").agg(F.avg(value).alias("v"))
+    return per.groupBy("bucket").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cell_name", "v")))).alias("fleet"))
+
+
+def fleet_long(wide: DataFrame, value: str = "PCE") -> DataFrame:
+    """Rows of a fleet map again: its other columns, ``cell_name`` and the value."""
+    rest = [c for c in wide.columns if c != "fleet"]
+    return wide.select(*rest, F.explode("fleet").alias("cell_name", value))
+
+
+def plausible_fleet(wide: DataFrame, value: str = "PCE") -> DataFrame:
+    """Daylight rows of a fleet map with readings from 0 to 100."""
+    day = wide.where(F.col("POA_Irradiance_W_m2") > SETTINGS.daylight_min)
+    return fleet_long(day, value).where(F.col(value).between(0.0, 100.0)).select("bucket", "cell_name", value)
+
+
+def fleet_mean_efficiency(wide: DataFrame) -> DataFrame:
+    """Mean over the readings of a fleet map with a ratio in (0, 1], daylight only."""
+    ratio = fleet_long(wide.where(F.col("POA_Irradiance_W_m2") > SETTINGS.daylight_min)).select((F.col("PCE") / 100.0).alias("ratio"))
+    return ratio.where((F.col("ratio") > 0) & (F.col("ratio") <= 1)).agg(F.avg("ratio").alias("mean_efficiency"), F.count("*").alias("n"))
+
+
 def kpi_current_vs_previous(b10: DataFrame, days: int = 7) -> DataFrame:
     """Means and dose in the last days and in the same span before, per device, in one pass."""
     last = b10.agg(F.max("bucket").alias("stop"))
@@ -86,13 +114,6 @@ def kpi_current_vs_previous(b10: DataFrame, days: int = 7) -> DataFrame:
     return g
 
 
-def fleet_mean_efficiency(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean over device readings with a ratio in (0, 1], daylight only."""
-    d = wide.where(F.col("POA_Irradiance_W_m2") > SETTINGS.daylight_min).select(*columns)
-    long = d.unpivot([], list(columns), "device", "pct").withColumn("ratio", F.col("pct") / 100.0)
-    return long.where((F.col("ratio") > 0) & (F.col("ratio") <= 1)).agg(F.avg("ratio").alias("mean_efficiency"), F.count("*").alias("n"))
-
-
 def operation_days(rows: DataFrame, t80: DataFrame, cap: float = SETTINGS.burn_in_days) -> DataFrame:
     """Days from the first row to the failure or the last row, capped; more than the cap means mature."""
     r = rows.groupBy("cell_name").agg(F.min("Timestamp").alias("t0"), F.max("Timestamp").alias("t1"))

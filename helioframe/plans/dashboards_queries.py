@@ -67,6 +67,12 @@ def _(spark, sf):
     return B.fleet_pivot(b10(spark, sf), CELLS)
 
 
+@query("a51_fleet_map", "bucket:t cell_name PCE:f", "SELECT bucket, cell_name, avg(PCE) AS PCE FROM v_b10 GROUP BY 1, 2")
+def _(spark, sf):
+    """The pivot for any list of devices: a map a bucket, and its rows again."""
+    return B.fleet_long(B.fleet_map(b10(spark, sf)))
+
+
 KPI = "cell_name " + " ".join(f"{n}_now:f {n}_before:f {n}_delta_pct:f" for n in ("pce", "temp", "dose"))
 
 
@@ -93,7 +99,7 @@ def _(spark, sf):
 def _(spark, sf):
     b = b10(spark, sf)
     poa = b.groupBy("bucket").agg(F.avg("POA_Irradiance_W_m2").alias("POA_Irradiance_W_m2"))
-    return B.fleet_mean_efficiency(B.fleet_pivot(b, CELLS).join(poa, "bucket"), CELLS)
+    return B.fleet_mean_efficiency(B.fleet_map(b).join(poa, "bucket"))
 
 
 @query(

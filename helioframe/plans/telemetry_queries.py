@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helioframe.functions import expr as X
 from helioframe.functions.ordered import exact_quantiles
-from helioframe.operators import asof, features, resample
+from helioframe.operators import asof, dashboards, features, resample
 from helioframe.plans import views  # noqa: F401
 from helioframe.plans.registry import query, view
 from helioframe.sources import fixtures
@@ -172,6 +172,20 @@ def _(spark, sf):
     return resample.device_columns_to_long(wide.join(poa, "bucket"))
 
 
+@query(
+    "p14_device_map_to_long",
+    "bucket:t cell_name PCE:f",
+    """SELECT bucket, cell_name, PCE FROM v_b10 b
+JOIN (SELECT bucket, avg(POA_Irradiance_W_m2) AS fleet_poa FROM v_b10 GROUP BY 1) f USING (bucket)
+WHERE fleet_poa > 100 AND PCE BETWEEN 0 AND 100""",
+)
+def _(spark, sf):
+    """The same rows from a map a bucket, for any list of devices."""
+    b = b10(spark, sf)
+    poa = b.groupBy("bucket").agg(F.avg("POA_Irradiance_W_m2").alias("POA_Irradiance_W_m2"))
+    return dashboards.plausible_fleet(dashboards.fleet_map(b).join(poa, "bucket"))
+
+
 @query(
     "p15_power_column_pick",
     "bucket:t picked:f",
