@@ -72,6 +72,17 @@ def cyclic_time(ts: Column | str) -> dict[str, Column]:
     }
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation over the pairs that both have: NULL below two pairs, NaN if one of them never varies.
+
+    ``corr`` divides by zero there, which ANSI mode makes an error.
+    """
+    x, y = col(x), col(y)
+    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
+    r = F.coalesce(F.try_divide(F.regr_sxy(y, x), spread), F.lit(float("nan")))
+    return F.when(F.regr_count(y, x) > 1, r)
+
+
 def right_closed_bucket(ts: Column | str, seconds: int) -> Column:
     """Label of the bin ``(label - width, label]`` that holds the timestamp."""
     width = seconds * 1_000_000

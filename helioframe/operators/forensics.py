@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from helioframe.config import SETTINGS
+from helioframe.functions.expr import correlation
 
 
 
@@ -89,7 +90,7 @@ def recovery_days(daily: DataFrame) -> DataFrame:
 
 
 def feature_correlation(matrix: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    g = matrix.groupBy("cell_name").agg(*[F.corr(f, target).alias(f) for f in features])
+    g = matrix.groupBy("cell_name").agg(*[correlation(f, target).alias(f) for f in features])
     return g.unpivot(["cell_name"], list(features), "feature", "pearson")
 
 
@@ -110,7 +111,7 @@ def target_profile(matrix: DataFrame, target: str) -> DataFrame:
         F.skewness(t).alias("skew"),
         (100.0 * F.count_if(t == 0) / F.count(t)).alias("pct_zero"),
         (100.0 * F.count_if(t < 0) / F.count(t)).alias("pct_negative"),
-        F.corr(t, F.col("before")).alias("lag_corr"),
+        correlation(t, F.col("before")).alias("lag_corr"),
     )
 
 
@@ -129,7 +130,7 @@ def lagged_cross_correlation(daily: DataFrame, max_lag: int = 10) -> DataFrame:
     d = daily
     for k in lags:
         d = d.withColumn(f"inc_{k}", F.lead("Daily_Damage_Increment", k).over(by_day()))
-    g = d.groupBy("cell_name").agg(*[F.corr("Daily_Max_Temp_C", f"inc_{k}").alias(str(k)) for k in lags])
+    g = d.groupBy("cell_name").agg(*[correlation("Daily_Max_Temp_C", f"inc_{k}").alias(str(k)) for k in lags])
     return g.unpivot(["cell_name"], [str(k) for k in lags], "lag", "corr").withColumn("lag", F.col("lag").cast("int"))
 
 
