@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from helioframe.config import DAMAGE_FEATURES, DAMAGE_PARAMS, DAMAGE_PENALTIES, TRAJECTORY_PARAMETERS
+from helioframe.functions.expr import correlation
 from helioframe.functions.ordered import exact_quantiles, left_out_quantile
 from helioframe.functions.stages import settle
 from helioframe.operators import boosting as B, models as M
@@ -266,7 +267,7 @@ def residual_correlations(oof: DataFrame, matrix: DataFrame, targets: Sequence[T
     feats = long_rows(matrix, targets).select("cell_name", "Date_Day", "target", "x")
     j = rows.select("cell_name", "Date_Day", "target", "scheme", (-_error()).alias("r")).join(feats, ["cell_name", "Date_Day", "target"])
     m = len(targets[0].features)
-    got = j.groupBy("target", "scheme").agg(*[F.corr("r", F.get("x", F.lit(i))).alias(f"c{i}") for i in range(m)])
+    got = j.groupBy("target", "scheme").agg(*[correlation("r", F.get("x", F.lit(i))).alias(f"c{i}") for i in range(m)])
     names = F.lit(None)
     for t in targets:
         names = F.when(F.col("target") == t.name, F.array(*[F.lit(f) for f in t.features])).otherwise(names)
@@ -316,5 +317,5 @@ def signal_verdicts(scores: DataFrame, lags: DataFrame) -> DataFrame:
 
 def lag_correlations(long: DataFrame) -> DataFrame:
     """Correlation of each target with its own lag, the last feature; NULL without spread."""
-    c = F.corr("y", F.element_at("x", -1))
+    c = correlation("y", F.element_at("x", -1))
     return long.groupBy("target").agg(c.alias("c")).select("target", F.when(~F.isnan("c"), F.col("c")).alias("lag_corr"))

@@ -268,7 +268,7 @@ def _(spark, sf):
     rows = Q.twin(spark, sf)
     ins = Q.predicted(spark, sf).where("is_healthy AND is_mature").groupBy("cell_name").agg(
         F.count("*").alias("n"), F.avg("Under_PCE").alias("bias"), F.avg(F.abs("Under_PCE")).alias("mae_in"),
-        *[F.corr("Under_PCE", f).alias(f"c_{i}") for i, f in enumerate(RES_FEATURES)],
+        *[X.correlation("Under_PCE", f).alias(f"c_{i}") for i, f in enumerate(RES_FEATURES)],
     )
     fits = S.leave_one_out_fit(S.fit_sums(rows, ["PCE"]), ["PCE"])
     out = S.predict(rows.where("is_healthy AND is_mature"), fits, ["PCE"]).groupBy("cell_name").agg(F.avg(F.abs("Under_PCE")).alias("mae_out"))
