@@ -1,26 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are TF-IDF vectors over the words of the benchmark, with document frequencies
-counted over all passages of the corpus.  A distributed randomised SVD of a passage
-matrix (every benchmark item, and a bounded sample of corpus passages as background)
-gives the latent space; every passage of every text is folded into it and compared
-with every item by cosine.  An item longer than a passage is searched by overlapping
-parts of a passage's length.  What is near is then checked on the words of the whole
-item, in a region as long as the item asks for: the longest common subsequence, and
-the item's most telling words (its answer).
-
-The sample only shapes the space (``SAMPLE`` passages, least by hash); frequencies,
-folding, search and checks cover all texts.
+counted over all passages of the corpus.  A distributed randomised SVD of the passage
+matrix (every benchmark item, and as background every piece of the corpus that holds a
+word of the benchmark) gives the latent space; every passage of every text is folded into
+it and compared with every item by cosine.  An item longer than a passage is searched by
+overlapping parts of a passage's length.  What is near is then checked on the words of
+the whole item, in a region as long as the item asks for: the longest common subsequence,
+and the item's most telling words (its answer).
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +28,8 @@ from helioframe.llm.common import settle, ship
 #: Words of a piece, and pieces of a passage: passages of 32 and 64 words start at every piece.
 PIECE, PASSAGES = 16, (2, 4)
 RANK, EXTRA, POWER = 128, 16, 2
-SAMPLE, TASK_SAMPLE = 4096, 64
+#: Words of the passages that are multiplied at once (few, so that their matrix stays small), and words of a block of sums.
+SLICE, SUMS = 1 << 11, 256
 #: Words of the longest passage, which are also those of a part of an item, and from part to part.
 LONGEST, STRIDE = max(PASSAGES) * PIECE, max(PASSAGES) * PIECE // 2
 #: Parts of items compared at once; a larger benchmark is taken in several rounds.
@@ -80,70 +78,92 @@ def _pieces(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(vocabulary: np.ndarray, text: str):
-    """Passage frequencies of the words, and a few passages, of one task."""
+    """Passage frequencies of the words of one task, and the words of its passages, one row a chunk of texts."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("cols", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, passages, sample = np.zeros(len(vocabulary), dtype=np.int64), 0, []
+        total, passages = np.zeros(len(vocabulary), dtype=np.int64), 0
         for batch in kernel.chunks(batches, text):
             w = kernel.words(batch.column(batch.schema.get_field_index(text)).to_pylist(), kernel.FOLD)
             piece, first = _pieces(w)
             col = _lookup(vocabulary, w.hashes)
             hit = col >= 0
             pairs = np.unique(piece[hit] * len(vocabulary) + col[hit])
-            total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
             passages += int(first[-1])
             if len(pairs):
                 owner, cols = pairs // len(vocabulary), pairs % len(vocabulary)
-                mixed = kernel.mix((np.cumsum(kernel.mix(pairs.astype(np.uint64)))))
-                cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                for k in np.argsort(mixed[cut])[:TASK_SAMPLE].tolist():
-                    to = cut[k + 1] if k + 1 < len(cut) else len(owner)
-                    sample.append((int(mixed[cut[k]] >> np.uint64(1)), cols[cut[k] : to].astype("<i4").tobytes()))
-                sample = heapq.nsmallest(TASK_SAMPLE, sample)
+                total += np.bincount(cols, minlength=len(vocabulary))
+                sizes = np.diff(np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True]))))
+                row = [[2], [0], [len(sizes)], [cols.astype("<i4").tobytes()], [sizes.astype("<i4").tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
         seen = np.flatnonzero(total)
-        kinds = [0] * len(seen) + [1] + [2] * len(sample)
-        keys = [*seen.tolist(), 0, *(s[0] for s in sample)]
-        values = [*total[seen].tolist(), passages, *[0] * len(sample)]
-        blobs = [*[None] * (len(seen) + 1), *(s[1] for s in sample)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.int32()), pa.array(keys, pa.int64()), pa.array(values, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "key", "n", "cols"]
-        )
+        none = [None] * (len(seen) + 1)
+        rows = [[0] * len(seen) + [1], [*seen.tolist(), 0], [*total[seen].tolist(), passages], none, none]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
     return run
 
 
 def _product(idf: np.ndarray, right: np.ndarray, gram: bool):
-    """Of the rows of one task: A' (A X), or (A X)' (A X)."""
+    """Of the rows of one task: A' (A X), or (A X)' (A X), in blocks of ``SUMS`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((right.shape[1],) * 2 if gram else right.shape)
+        out, narrow = np.zeros((right.shape[1],) * 2 if gram else right.shape), right.astype(np.float32)
         for batch in batches:
-            for blob, weight in zip(batch.column("cols").to_pylist(), batch.column("weight").to_pylist(), strict=True):
-                cols = np.frombuffer(blob, "<i4")
-                row = idf[cols]
-                row = row * (weight / max(np.linalg.norm(row), 1e-12))
-                image = row @ right[cols]
-                if gram:
-                    out += np.outer(image, image)
-                else:
-                    np.add.at(out, cols, np.outer(row, image))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["part"])
+            for blob, lengths, weight in zip(*(batch.column(c).to_pylist() for c in ("cols", "sizes", "weight")), strict=True):
+                cols, sizes = np.frombuffer(blob, "<i4"), np.frombuffer(lengths, "<i4")
+                ends = np.cumsum(sizes)
+                a = 0
+                while a < len(sizes):  # whole passages, some at a time, to bound the memory
+                    begin = int(ends[a] - sizes[a])
+                    b = max(a + 1, int(np.searchsorted(ends, begin + SLICE, "right")))
+                    c, size = cols[begin : ends[b - 1]], sizes[a:b]
+                    first, owner = ends[a:b] - size - begin, np.repeat(np.arange(b - a), size)
+                    value = idf[c]
+                    value = value * (weight / np.maximum(np.sqrt(np.add.reduceat(value * value, first)), 1e-12))[owner]
+                    own, place = np.unique(c, return_inverse=True)
+                    dense = np.zeros((b - a, len(own)), dtype=np.float32)
+                    dense[owner, place] = value
+                    image = dense @ narrow[own]
+                    if gram:
+                        out += image.T @ image
+                    else:
+                        out[own] += dense.T @ image
+                    a = b
+        task, block = TaskContext.get().partitionId(), range(0, len(out), SUMS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block, pa.int64()), pa.array([task] * len(block), pa.int64()), pa.array([out[k : k + SUMS].tobytes() for k in block], pa.binary())],
+            ["block", "task", "part"],
+        )
 
     return run
 
 
+def _add(parts: pa.Table) -> pa.Table:
+    """Sum of one block over all tasks, in their order."""
+    parts = parts.sort_by("task")
+    total = np.zeros(len(parts.column("part")[0].as_py()) // 8)
+    for part in parts.column("part"):
+        total += np.frombuffer(part.as_py())
+    return pa.table({"block": parts.column("block").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+
 def randomised_svd(rows: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
     """Leading right singular vectors of the weighted, normalised passage matrix.
 
-    ``rows`` (``cols``, ``weight``) stay distributed; a task sends one block of sums,
-    of the size of the benchmark's vocabulary times the rank.
+    ``rows`` stay distributed; each holds some passages: ``cols`` (their words, one passage
+    after another) and ``sizes`` as 32-bit integers, and a ``weight``.  As many tasks as
+    there are cores send one block of sums each, of the size of the benchmark's vocabulary
+    times the rank; their total comes to the driver.
     """
     wide = min(rank + EXTRA, len(idf))
     x = np.random.default_rng(7).standard_normal((len(idf), wide))
+    rows = rows.select("cols", "sizes", "weight").coalesce(rows.sparkSession.sparkContext.defaultParallelism)
 
     def total(right, gram):
-        parts = rows.mapInArrow(_product(idf, right, gram), "part binary").toLocalIterator()
-        return sum(np.frombuffer(r["part"]) for r in parts).reshape((wide, wide) if gram else right.shape)
+        parts = rows.mapInArrow(_product(idf, right, gram), "block long, task long, part binary")
+        summed = parts.groupBy("block").applyInArrow(_add, "block long, part binary").orderBy("block").collect()
+        return np.concatenate([np.frombuffer(r["part"]) for r in summed]).reshape((wide, wide) if gram else right.shape)
 
     for _ in range(POWER):
         x, _ = np.linalg.qr(total(x, False))
@@ -161,7 +181,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", rank:
     if not kept:
         return None
     vocabulary = np.unique(w.hashes)
-    counted = settle(docs.select(text).mapInArrow(_count(vocabulary, text), "kind int, key long, n long, cols binary"))
+    counted = settle(docs.select(text).mapInArrow(_count(vocabulary, text), "kind int, key long, n long, cols binary, sizes binary"))
     frequency = np.zeros(len(vocabulary))
     passages = counted.where("kind = 1").agg(F.sum("n")).first()[0] or 0
     for r in counted.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():  # one row a word of the benchmark
@@ -171,11 +191,13 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", rank:
     owner, offset = np.array([(i, at) for i, x in enumerate(words) for at in part_starts(len(x))]).T
     parts = [words[i][at : at + LONGEST] for i, at in zip(owner, offset, strict=True)]
     cols = [np.unique(x) for x in parts]
-    sample = counted.where("kind = 2").orderBy("key", "cols").limit(SAMPLE).select("cols", F.lit(1.0).alias("weight"))
+    background = counted.where("kind = 2")
+    n = background.agg(F.sum("n")).first()[0] or 0
     # The items weigh as much as the whole background, so that their own words shape the space.
-    weight = float(np.sqrt(SAMPLE / len(parts)))
-    own = docs.sparkSession.createDataFrame([(c.astype("<i4").tobytes(), weight) for c in cols], "cols binary, weight double")
-    rows = settle(own.unionByName(sample))
+    weight = float(np.sqrt(max(n, len(parts)) / len(parts)))
+    own = [(np.concatenate(cols).astype("<i4").tobytes(), np.array([len(c) for c in cols], "<i4").tobytes(), weight)]
+    own = docs.sparkSession.createDataFrame(own, "cols binary, sizes binary, weight double")
+    rows = background.select("cols", "sizes", F.lit(1.0).alias("weight")).unionByName(own)
     basis = idf[:, None] * randomised_svd(rows, idf, rank)
     vectors = np.array([basis[x].sum(axis=0) for x in parts])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from helioframe.llm import chat, dom, extraction, labelled_pages, language, latent
@@ -223,3 +224,25 @@ def test_snapshots_collapse(spark):
     assert set(got) == {3, 6, 7, None} and got[3][:2] == (4, 3)
     assert got[3][2] == "<|user|>\nhi\n<|assistant|>\nhello <\\|x|>\n<|user|>\n\n<||>\nbye\n<|end|>"
     assert chat.collapse(t.limit(0)).count() == 0
+
+
+def test_latent_space_is_of_all_passages(spark):
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(40)]
+    rows = [(d, " ".join(names[i] for i in (rng.integers(0, 40, 80) ** 2 // 40))) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    space = latent.fit(docs, [(0, " ".join(names[:25])), (1, " ".join(names[25:]))], rank=40)
+    column = {h: k for k, h in enumerate(space.vocabulary.tolist())}
+    at = {n: column[int(latent.kernel.words([n]).hashes[0])] for n in names}
+    pieces = [sorted({at[x] for x in t.split()[a : a + 16]}) for _, t in rows for a in range(0, 80, 16)]
+    items = [sorted({at[x] for x in names[:25]}), sorted({at[x] for x in names[25:]})]
+    whole = np.zeros((len(pieces) + 2, 40))
+    for k, p in enumerate([*pieces, *items]):
+        whole[k, p] = space.idf[p]
+    whole /= np.linalg.norm(whole, axis=1, keepdims=True)
+    whole[-2:] *= np.sqrt(len(pieces) / 2)
+    value, vector = np.linalg.eigh(whole.T @ whole)
+    want = vector[:, ::-1][:, value[::-1] > 1e-9 * value.max()]
+    got = space.basis / space.idf[:, None]
+    assert got.shape == want.shape
+    assert np.allclose(np.abs((got * want).sum(axis=0)), 1, atol=1e-4)
