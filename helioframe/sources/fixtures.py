@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from helioframe.functions.expr import absolute_humidity, pce_from_power
 from helioframe.functions.stages import spread
 
+#: Events whose sweeps one task makes at most, about.
+EVENTS_A_TASK = 10_000
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
 
 
@@ -90,7 +92,7 @@ def curve_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty sweep points per event: a reverse scan, then a forward scan."""
-    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "value"))
+    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), EVENTS_A_TASK)
     eid, i = F.col("event_id"), F.col("pt")
     cell = F.pmod("user_id", F.lit(8))
 

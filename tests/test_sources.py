@@ -79,3 +79,13 @@ def test_files_of_different_layouts_keep_their_columns(spark, tmp_path):
     write(f"{root}/D/D_meteo.csv", ["2024-01-01 00:00:00", "35"], [["2024-01-01 00:10:00", 36]])
     with pytest.raises(ValueError, match="no header"):
         files.ingest(spark, root, "meteo")
+
+
+def test_sweeps_of_one_task_do_not_grow_with_the_events(spark, monkeypatch):
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    whole = fixtures.sweep_points(spark, SF)
+    monkeypatch.setattr(fixtures, "EVENTS_A_TASK", 10)
+    points = fixtures.sweep_points(spark, SF)
+    sizes = [r["count"] for r in points.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 10 * 40 and sum(sizes) == 40 * events
+    assert points.exceptAll(whole).count() == 0
