@@ -31,9 +31,9 @@ from helioframe.operators import boosting as B, screening as S, shapes as H
 PARALLEL = 4
 
 
-def in_parallel(spark, jobs: Sequence[Callable]) -> list:
+def in_parallel(spark, jobs: Sequence[Callable], threads: int = PARALLEL) -> list:
     """Run independent driver-side jobs from a few threads."""
-    with ThreadPoolExecutor(PARALLEL) as pool:
+    with ThreadPoolExecutor(threads) as pool:
         return list(pool.map(lambda j: inheritable_thread_target(spark)(j)(), jobs))
 
 
@@ -70,11 +70,12 @@ def healthy_twin(rows: DataFrame, rounds: int | None = None) -> DataFrame:
     base = settle(S.contiguous_folds(data.where("is_healthy AND is_mature")))
     spark = rows.sparkSession
 
-    def job(metric: str):
-        est = booster(f"{metric}_Relative", TWIN[metric], rounds, f"{metric}_Pred")
-        return est.fit(assemble(base, TWIN_FEATURES)), threshold(base, metric, rounds)
+    def final(metric: str):
+        return booster(f"{metric}_Relative", TWIN[metric], rounds, f"{metric}_Pred").fit(assemble(base, TWIN_FEATURES))
 
-    fitted = dict(zip(TWIN, in_parallel(spark, [lambda m=m: job(m) for m in TWIN])))
+    jobs = [lambda m=m: final(m) for m in TWIN] + [lambda m=m: threshold(base, m, rounds) for m in TWIN]
+    done = in_parallel(spark, jobs)
+    fitted = dict(zip(TWIN, zip(done[: len(TWIN)], done[len(TWIN) :])))
     out = assemble(data, TWIN_FEATURES)
     for m, (model, thr) in fitted.items():
         out = model.transform(out).withColumn(f"Under_{m}", F.col(f"{m}_Pred") - F.col(f"{m}_Relative"))
@@ -84,16 +85,20 @@ def healthy_twin(rows: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 def oof_residuals(folded: DataFrame, metric: str, rounds: int | None = None, k: int = 5) -> DataFrame:
-    """Absolute residuals of contiguous blocks, each predicted from the other blocks."""
+    """Absolute residuals of contiguous blocks, each predicted from the other blocks; the fits run side by side."""
     data = assemble(folded, TWIN_FEATURES)
-    out = None
-    for i in range(k):
+
+    def job(i: int) -> DataFrame | None:
         train = data.where(F.col("fold") != i)
         if train.isEmpty():
-            continue
+            return None
         model = booster(f"{metric}_Relative", TWIN[metric], rounds, "p").fit(train)
-        part = model.transform(data.where(F.col("fold") == i)).select(F.abs(F.col("p") - F.col(f"{metric}_Relative")).alias("r"))
-        out = part if out is None else out.unionByName(part)
+        return model.transform(data.where(F.col("fold") == i)).select(F.abs(F.col("p") - F.col(f"{metric}_Relative")).alias("r"))
+
+    out = None
+    for part in in_parallel(folded.sparkSession, [lambda i=i: job(i) for i in range(k)], k):
+        if part is not None:
+            out = part if out is None else out.unionByName(part)
     return out
 
 
