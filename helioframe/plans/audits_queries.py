@@ -17,8 +17,8 @@ from helioframe.sources import fixtures
 @staged
 def curve_table(spark, sf):
     """Stage output shared by the audits: one row per curve."""
-    p = S.settled_points(spark, sf)
-    t = C.physics_gate(C.curve_audit(p, stats=settle(C.curve_summary(p))))
+    summary, floor, _ = C.sweeps_of_points(fixtures.sweep_points(spark, sf))
+    t = C.physics_gate(C.curve_audit(None, stats=settle(summary), floor=floor))
     t = t.withColumn("truth", X.physical_truth(F.col("all_night"), F.col("voc"), F.col("jsc")))
     return t.withColumn("hour", X.local_hour("t_min")).withColumn("label_curve", F.pmod("curve", F.lit(5)) - 1)
 

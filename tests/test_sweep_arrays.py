@@ -1,5 +1,6 @@
 """Array summaries of sweeps against the window functions they stand for."""
 
+import dataclasses
 import datetime as dt
 import math
 import random
@@ -74,3 +75,61 @@ def test_points_are_shuffled_once_and_numbers_do_not_depend_on_ranges(spark, poi
     assert few.select("curve").distinct().count() > 10
     assert "Sort" not in few._jdf.queryExecution().executedPlan().toString().split("BroadcastHashJoin")[-1]
     assert few.where(F.col("curve") < 1).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def numbered(spark, points):
+    """Unnumbered points with missing devices and times, and what numbering and windows make of them."""
+    raw = points.drop("curve").withColumn("Timestamp", F.when(~((F.col("cell_name") == "B") & (F.col("pt") == 5)), F.col("Timestamp")))
+    raw = C.settle(raw.unionByName(raw.where("pt < 2").withColumn("cell_name", F.lit(None).cast("string"))))
+    p = C.segment_cycles(raw)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(C, "SETTINGS", dataclasses.replace(C.SETTINGS, night_points_min=5))
+        noise = C.noise_floor(p).first()["noise"]
+    return raw, C.settle(C.curve_summary(p)), noise, C.settle(C.shape_vectors(p, 6))
+
+
+@pytest.mark.parametrize("parts, longest, batch", [(7, 11, 16), (40, 500_000, 65_536)])
+def test_one_pass_over_ranges_equals_numbering_and_summaries(numbered, monkeypatch, parts, longest, batch):
+    raw, want, noise, shapes = numbered
+    make = A.of_ranges
+
+    def small(*args):
+        def run(batches):  # the limits hold in the worker
+            A.LONGEST, A.BATCH = longest, batch
+            return make(*args)(b.slice(k, 5) for b in batches for k in range(0, b.num_rows, 5))
+
+        return run
+
+    monkeypatch.setattr(A, "of_ranges", small)
+    monkeypatch.setattr(C, "SETTINGS", dataclasses.replace(C.SETTINGS, night_points_min=5))
+    got, level, forms = C.sweeps_of_points(raw, 6, max_rows=-(-raw.count() // parts))
+    assert set(got.columns) == set(want.columns) and [got.schema[c].dataType for c in want.columns] == [want.schema[c].dataType for c in want.columns]
+    a, b = rows(got, want.columns), rows(want, want.columns)
+    assert a.keys() == b.keys() and len(a) == got.count() > 40
+    for key, r in b.items():
+        assert all(alike(a[key][c], x) for c, x in r.items()), (key, a[key], r)
+    assert level.first()["noise"] == pytest.approx(noise, rel=1e-12) and noise > 1e-5
+    a, b = rows(forms, forms.columns), rows(shapes, shapes.columns)
+    assert a.keys() == b.keys() and len(a) == forms.count() > 10
+    for key, r in b.items():
+        assert a[key]["shape"] == pytest.approx(r["shape"], rel=1e-9, abs=1e-12, nan_ok=True), key
+
+
+def test_points_are_not_stored_or_shuffled_a_second_time(spark, points, monkeypatch):
+    stored, settle = [], C.settle
+
+    def counted(df):
+        stored.append(settle(df))
+        return stored[-1]
+
+    monkeypatch.setattr(C, "settle", counted)
+    n = 300
+    many = spark.range(n * 40).selectExpr(
+        "'A' as cell_name", "1L as cell_id", "cast(id % 40 as int) as pt", "timestamp_seconds(1704067200 + id * 5) as Timestamp",
+        "if(id % 40 < 20, 'Reverse', 'Forward') as ScanDirection", "1.0 - (id % 20) / 19.0D as Voltage_V", "0.01D + (id % 7) / 1000.0D as Current_A",
+    )
+    summary, _, _ = C.sweeps_of_points(many)
+    assert summary.count() == n
+    assert stored[0].count() < n + 40 * 2 * 2 + n * 40 * 10 // 24  # sweeps, the ends of two ranges, night steps
+    assert stored[0].where(F.col("kind") == A.POINT).count() <= 40 * 2 * 2
