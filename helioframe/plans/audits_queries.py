@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from helioframe.config import SETTINGS
 from helioframe.functions import expr as X
-from helioframe.functions.stages import settle
 from helioframe.operators import asof, audits as A, curves as C
 from helioframe.plans import sweeps_queries as S
 from helioframe.plans.registry import query, view
@@ -18,7 +17,7 @@ from helioframe.sources import fixtures
 def curve_table(spark, sf):
     """Stage output shared by the audits: one row per curve."""
     summary, floor, _ = C.sweeps_of_points(fixtures.sweep_points(spark, sf))
-    t = C.physics_gate(C.curve_audit(None, stats=settle(summary), floor=floor))
+    t = C.physics_gate(C.curve_audit(None, stats=summary, floor=floor))
     t = t.withColumn("truth", X.physical_truth(F.col("all_night"), F.col("voc"), F.col("jsc")))
     return t.withColumn("hour", X.local_hour("t_min")).withColumn("label_curve", F.pmod("curve", F.lit(5)) - 1)
 

@@ -133,3 +133,76 @@ def test_points_are_not_stored_or_shuffled_a_second_time(spark, points, monkeypa
     assert summary.count() == n
     assert stored[0].count() < n + 40 * 2 * 2 + n * 40 * 10 // 24  # sweeps, the ends of two ranges, night steps
     assert stored[0].where(F.col("kind") == A.POINT).count() <= 40 * 2 * 2
+
+
+OPERATORS = {
+    "mpp_smoothed": C.mpp_smoothed,
+    "sweep_interpolate": lambda p: C.sweep_interpolate(p, 6),
+    "shape_vectors": lambda p: C.shape_vectors(p, 6, [F.size("shape").alias("n"), F.array_max("shape").alias("most")]),
+    "sweep_directions": C.sweep_directions,
+    "noise_floor": lambda p: C.noise_floor(p, "per_device"),
+    "curve_scores": lambda p: C.curve_scores(p, "per_device").select(*C.KEY, "n_points", "v_span_ratio", "snr_i", "n_unphysical"),
+    "counted_points": lambda p: C.counted_points(C.curve_scores(p)),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_operators_number_the_points_in_their_own_pass(numbered, monkeypatch, name):
+    raw, numbers = numbered[0], C.segment_cycles
+    monkeypatch.setattr(C, "SETTINGS", dataclasses.replace(C.SETTINGS, night_points_min=5))
+    want = OPERATORS[name](numbers(raw))
+    monkeypatch.setattr(C, "segment_cycles", None)
+    monkeypatch.setattr(C, "SLICE_ROWS", 300)
+    got = OPERATORS[name](raw)
+    assert set(got.columns) == set(want.columns)
+    order = lambda df: sorted((tuple(r) for r in df.select(*want.columns).collect()), key=lambda r: [repr(x) if isinstance(x, str | bool | int | None) else "" for x in r])
+    a, b = order(got), order(want)
+    assert len(a) == len(b) > 1
+    assert all(alike(x, y) for r, s in zip(a, b) for x, y in zip(r, s))
+
+
+def test_slices_of_time_keep_all_points(numbered):
+    raw = numbered[0]
+    some = C._slices(raw, raw.count(), 250)
+    assert len(some) > 3
+    inside = raw.select(F.array(*[F.coalesce(c, F.lit(False)).cast("int") for c in some]).alias("a"))
+    assert {sum(r["a"]) for r in inside.collect()} == {1}
+
+
+def test_unphysical_points_are_dropped_by_count(spark):
+    rows = [("A", 1, 4, 2, 1), ("A", 2, 3, 3, 1), ("A", 3, 3, 3, 0), ("B", 1, 5, 0, 1)]
+    stats = spark.createDataFrame(rows, "cell_name string, curve int, n_points long, n_unphysical long, is_curve_valid int")
+    kept = C.drop_unphysical_points(C.counted_points(stats), stats).groupBy("cell_name", "curve").agg(F.sum("n").alias("n"))
+    assert {tuple(r) for r in kept.collect()} == {("A", 1, 2), ("A", 3, 3), ("B", 1, 5)}
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("sf")
+    rows = [(i, i % 3, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), "a", 20.0 + i % 60, '{"k": 1}') for i in range(900)]
+    kinds = "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string"
+    spark.createDataFrame(rows, kinds).write.parquet(str(path / "events.parquet"))
+    return str(path)
+
+
+@pytest.mark.parametrize(
+    "name", [
+        "a06_noise_floor_per_device", "a07_span_ratio_and_snr", "a17_qc_yield", "a18_qc_direction_counts", "a19_curve_timings", "a57_span_distribution",
+        "j08_composite_key_flag", "p04_unphysical_point", "shape_pseudo_ff", "w23_mpp_smoothed", "w28_sweep_interpolate",
+    ]
+)
+def test_queries_store_no_points_but_those_at_ends(spark, events, monkeypatch, name):
+    from helioframe.plans import catalog  # noqa: F401 (registers the queries)
+    from helioframe.plans.registry import CATALOG
+
+    stored, settle = [], C.settle
+
+    def counted(df):
+        stored.append(settle(df))
+        return stored[-1]
+
+    monkeypatch.setattr(C, "segment_cycles", None)
+    monkeypatch.setattr(C, "settle", counted)
+    catalog.load()
+    assert CATALOG[name].run(spark, events).count() > 1
+    assert stored[0].where(F.col("kind") == A.POINT).count() <= 40 * 2 * 3 * 2  # two sweeps a device and range of 36,000 points
