@@ -21,7 +21,7 @@ def scratch(spark, name: str) -> str:
 
 
 def sweeps_csv(spark, sf) -> str:
-    """Sweep points written as CSV, one folder per device, with some damaged fields."""
+    """Sweep points written as CSV (compressed), one folder per device, with some damaged fields."""
     root = scratch(spark, "csv")
     p = fixtures.sweep_points(spark, sf)
     bad_time, bad_value = F.col("event_id") % 97 == 0, F.col("event_id") % 89 == 0
@@ -34,15 +34,15 @@ def sweeps_csv(spark, sf) -> str:
     )
     # Even devices: the usual columns.  Odd devices: another order and one more column.
     odd = F.col("cell_name").rlike("[13579]$")
-    out.where(~odd).write.option("header", True).partitionBy("cell_name").csv(f"{root}/a")
+    out.where(~odd).write.option("header", True).option("compression", "gzip").partitionBy("cell_name").csv(f"{root}/a")
     turned = ["ScanDirection", "Note", "Current_A", "Voltage_V", "Timestamp"]
     more = out.where(odd).withColumn("Note", F.lit("x,y")).select(*turned, "cell_name")
-    more.write.option("header", True).partitionBy("cell_name").csv(f"{root}/b")
+    more.write.option("header", True).option("compression", "gzip").partitionBy("cell_name").csv(f"{root}/b")
     return root
 
 
 def scanned(spark, sf):
-    return files.device_csv_scan(spark, sweeps_csv(spark, sf), "jv", "*/*/*.csv", r"cell_name=([^/]+)/")
+    return files.device_csv_scan(spark, sweeps_csv(spark, sf), "jv", "*/*/*.csv.gz", r"cell_name=([^/]+)/")
 
 
 @query(

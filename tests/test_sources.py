@@ -89,3 +89,18 @@ def test_sweeps_of_one_task_do_not_grow_with_the_events(spark, monkeypatch):
     sizes = [r["count"] for r in points.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) <= 2 * 10 * 40 and sum(sizes) == 40 * events
     assert points.exceptAll(whole).count() == 0
+
+
+def test_device_files_are_written_compressed(spark, tmp_path):
+    from helioframe.plans import sources_queries as Q
+
+    kinds = "event_id long, user_id long, ts timestamp, event_type string, value double, props string"
+    rows = spark.range(600).selectExpr("id", "id % 5", "timestamp_seconds(1704067200 + id)", "'a'", "20.0D + id % 60", "'{}'").toDF(*[k.split()[0] for k in kinds.split(", ")])
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    root = Q.sweeps_csv(spark, str(tmp_path))
+    names = [f"{d}/{n}" for d, _, found in os.walk(root) for n in found if n.startswith("part-")]
+    assert names and all(n.endswith(".csv.gz") for n in names)
+    lines = spark.read.text(f"{root}/*/*/*.csv.gz")
+    assert sum(map(os.path.getsize, names)) * 2 < lines.agg(F.sum(F.length("value") + 1)).first()[0]
+    read = files.device_csv_scan(spark, root, "jv", "*/*/*.csv.gz", r"cell_name=([^/]+)/")
+    assert read.count() == 600 * 40 and {r[0] for r in read.select("cell_name").distinct().collect()} == {f"C{i}" for i in range(5)}
